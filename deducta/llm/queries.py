@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, media
 
-QUERIES = {"op1_bpe": bpe.op1_bpe}
+QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
+    "op2_media": media.op2_media,
+}
 ORACLE_SQL: dict[str, str] = {}
