@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, media
+from . import bpe, chat, media, sharding, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_media": media.op2_media,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op9_hilbert": sharding.op9_hilbert,
+    "op10_chat": chat.op10_chat,
+}
+ORACLE_SQL = {
+    "op7_url_filter": url_filter.ORACLE,
+    "op10_chat": chat.ORACLE,
 }
-ORACLE_SQL: dict[str, str] = {}
