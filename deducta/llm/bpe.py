@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import Codes, arrow_schema, buckets_for, key_schema, pack, pack_bytes, staged, table, text_or_empty, unpack, unpack_bytes
 
 #: Characters in a block of documents (one document may be longer); bounds what a task holds.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 16_000_000
 #: Largest vocabulary file that is sent to all executors.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -110,16 +110,22 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keys
         block, chars, codes, rows = TaskContext.get().partitionId() << 32, 0, Codes(), []
 
         def flush():
+            # codes by frequency: most positions then take one byte, and the rest compress well
+            counts = np.bincount(np.concatenate([found for _, found in rows]), minlength=len(codes))
+            order = np.argsort(-counts, kind="stable")
+            rank = np.empty(len(codes), dtype=np.int32)
+            rank[order] = np.arange(len(codes), dtype=np.int32)
             words = list(codes)
+            words = [words[i] for i in order.tolist()]
             of = np.fromiter((hashed(w.encode("utf-8", "surrogatepass")) % n_buckets for w in words), dtype=np.int64, count=len(words))
             order = np.argsort(of, kind="stable")
             cuts = np.searchsorted(of[order], np.arange(n_buckets + 1))
-            out = [(block, None, *key, data, None) for key, data in rows]
+            out = [(block, None, *key, pack(rank[found]), None) for key, found in rows]
             for b in np.unique(of):
                 slots = order[cuts[b] : cuts[b + 1]]
                 pieces = [words[i].encode("utf-8", "surrogatepass") for i in slots]
                 sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-                out.append((block, int(b), *[None] * len(names), pack_bytes(b"".join(pieces)), len(p := pack(sizes)).to_bytes(4, "little") + p + pack(slots)))
+                out.append((block, int(b), *[None] * len(names), pack_bytes(b"".join(pieces)), len(p := pack(sizes)).to_bytes(4, "little") + p + pack(np.diff(slots, prepend=0))))
             for i in range(0, len(out), 4096):
                 part = list(zip(*out[i : i + 4096], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(part, arrow, strict=True)], schema=arrow)
@@ -133,12 +139,12 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keys
                     yield from flush()
                     block, chars, codes, rows = block + 1, 0, Codes(), []
                 chars += len(body)
-                found = np.array(list(map(codes.__getitem__, find(body))), dtype=np.int64)
-                rows.append((tuple(c[i].as_py() for c in columns), pack(found)))
+                found = np.array(list(map(codes.__getitem__, find(body))), dtype=np.int32)
+                rows.append((tuple(c[i].as_py() for c in columns), found))
         if rows:
             yield from flush()
 
-    parts = staged(source.mapInArrow(blocks, block_schema), "bpe-blocks")
+    parts = staged(source.mapInArrow(blocks, block_schema), "bpe-blocks", by="block")
     back_schema = "block long, data binary, slots binary"
     back_arrow = arrow_schema(back_schema)
     shipped = spark.sparkContext.broadcast(ranks)
@@ -168,13 +174,13 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keys
     out_arrow = arrow_schema(out_schema)
 
     def reassemble(rows: pa.Table, words: pa.Table) -> pa.Table:
-        sizes, starts, flats, base = None, None, [], 0
+        flats, base = [], 0
         pieces = []
         for data, slots in zip(words.column("data").to_pylist(), words.column("slots").to_pylist(), strict=True):
             cut = 4 + int.from_bytes(data[:4], "little")
-            pieces.append((unpack(data[4:cut]).astype(np.int32), unpack(data[cut:]).astype(np.int64), unpack(slots).astype(np.int64)))
+            pieces.append((unpack(data[4:cut]).astype(np.int32), unpack(data[cut:]).astype(np.int64), np.cumsum(unpack(slots).astype(np.int64))))
         total = sum(len(s) for _, _, s in pieces)
-        sizes, starts = np.zeros(total, dtype=np.int64), np.zeros(total, dtype=np.int64)
+        sizes, starts = np.zeros(total, dtype=np.int32), np.zeros(total, dtype=np.int32)
         for ids, counts, slots in pieces:
             sizes[slots] = counts
             starts[slots] = base + np.cumsum(counts) - counts
@@ -183,11 +189,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, text: str = "text", keys
         flat = np.concatenate(flats) if flats else np.zeros(0, dtype=np.int32)
         found, offsets = [], [0]
         for data in rows.column("data").to_pylist():
-            codes = unpack(data).astype(np.int64)
+            codes = unpack(data)
             n = sizes[codes]
-            ends = np.cumsum(n)
+            ends = np.cumsum(n, dtype=np.int32)
             if len(codes):
-                found.append(flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1])])
+                found.append(flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1], dtype=np.int32)])
             offsets.append(offsets[-1] + (int(ends[-1]) if len(codes) else 0))
         values = np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(values, type=pa.int32()))

@@ -31,15 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: later readers neither repeat its work nor depend on its executors."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df, written to the shared folder and read again: later readers neither repeat its work nor depend on its executors.
+    With by, it is bucketed by that column, so that grouping by it needs no shuffle."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    key = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/{name}-{key}"
+    write = df.write.option("compression", "zstd")
+    if by:
+        own = f"{name.replace('-', '_')}_{key}"
+        write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(own)
+    else:
+        write.parquet(path)
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.table(own) if by else spark.read.schema(df.schema).parquet(path)
 
 
 def buckets_for(df: DataFrame, mb: int = 16) -> int:
