@@ -402,17 +402,37 @@ def decode(stream: bytes) -> bytes:
     return decode_many([stream])[0]
 
 
-def seek(stream: bytes, first: int, n: int) -> bytes:
-    """Samples first .. first+n of a stream; only the frames that hold them are read."""
-    h = Stream(stream)
-    first, last = max(0, min(first, h.total)), max(0, min(first + n, h.total))
-    if last <= first or not len(h.starts):
-        return b""
-    ends = np.append(h.starts[1:], len(stream))
-    offsets = h.seek["sample"].astype(np.int64) if h.seekable else np.arange(len(h.starts)) * h.block
-    lo, hi = int(np.searchsorted(offsets, first, side="right")) - 1, int(np.searchsorted(offsets, last, side="left"))
-    frames = _decode_frames(np.frombuffer(stream, dtype=np.uint8), h.starts[lo:hi], ends[lo:hi] - h.starts[lo:hi], np.arange(lo, hi), np.full(hi - lo, h.block))
-    return (np.concatenate(frames) + 128).astype(np.uint8).tobytes()[first - int(offsets[lo]) : last - int(offsets[lo])]
+def seek_many(streams: list[bytes], firsts: list[int], count: int) -> list[bytes]:
+    """count samples of each stream, from a place of its own; only the frames that hold them are read."""
+    heads, cuts, parts, at = [Stream(s) for s in streams], [], [], 0
+    starts, sizes, numbers, blocks = [], [], [], []
+    for h, first in zip(heads, firsts, strict=True):
+        first, last = max(0, min(first, h.total)), max(0, min(first + count, h.total))
+        if last <= first or not len(h.starts):
+            cuts.append((0, 0, 0))
+            continue
+        ends = np.append(h.starts[1:], len(h.data))
+        offsets = h.seek["sample"].astype(np.int64) if h.seekable else np.arange(len(h.starts)) * h.block
+        lo, hi = int(np.searchsorted(offsets, first, side="right")) - 1, int(np.searchsorted(offsets, last, side="left"))
+        parts.append(h.data[int(h.starts[lo]) : int(ends[hi - 1])])
+        starts.append(h.starts[lo:hi] - h.starts[lo] + at)
+        sizes.append(ends[lo:hi] - h.starts[lo:hi])
+        numbers.append(np.arange(lo, hi))
+        blocks.append(np.full(hi - lo, h.block))
+        at += len(parts[-1])
+        cuts.append((hi - lo, first - int(offsets[lo]), last - int(offsets[lo])))
+    if not parts:
+        return [b"" for _ in streams]
+    frames = _decode_frames(np.frombuffer(b"".join(parts), dtype=np.uint8), *map(np.concatenate, (starts, sizes, numbers, blocks)))
+    out, done = [], 0
+    for n, first, last in cuts:
+        out.append((np.concatenate(frames[done : done + n]) + 128).astype(np.uint8).tobytes()[first:last] if n else b"")
+        done += n
+    return out
+
+
+def seek(stream: bytes, first: int, count: int) -> bytes:
+    return seek_many([stream], [first], count)[0]
 
 
 def pad(payload: bytes) -> bytes:
@@ -488,7 +508,9 @@ def describe(df: DataFrame, media: str = "media") -> DataFrame:
             streams = batch.column(media).to_pylist()
             for i, j in _grouped(streams, len):
                 part = streams[i:j]
-                rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(seek(s, len(p) - 16, 16)), len(s), hashlib.sha256(s).hexdigest(), features(p)) for s, p in zip(part, decode_many(part), strict=True)]
+                payloads = decode_many(part)
+                tails = seek_many(part, [len(p) - 16 for p in payloads], 16)
+                rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(tail), len(s), hashlib.sha256(s).hexdigest(), features(p)) for s, p, tail in zip(part, payloads, tails, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in keys), *(pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), list(arrow)[-6:], strict=True))], schema=arrow)
 
     return df.mapInArrow(run, schema)
