@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, sharding, url_filter
+from . import bpe, chat, media, quality, sharding, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_media": media.op2_media,
     "op7_url_filter": url_filter.op7_url_filter,
+    "op8_quality": quality.op8_quality,
     "op9_hilbert": sharding.op9_hilbert,
     "op10_chat": chat.op10_chat,
 }
