@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, quality, sharding, url_filter
+from . import bpe, chat, media, near_dup, quality, sharding, substring, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_media": media.op2_media,
+    "op5_near_dup": near_dup.op5_near_dup,
+    "op6_substring": substring.op6_substring,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_quality": quality.op8_quality,
     "op9_hilbert": sharding.op9_hilbert,
