@@ -155,3 +155,17 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.add.accumulate(hashes * up)])
         total = (sums[n : n + m] - sums[:m]) * down
     return mix(total)
+
+
+def pack_all(*arrays: np.ndarray) -> bytes:
+    parts = [pack(a) for a in arrays]
+    return b"".join(len(p).to_bytes(4, "little") + p for p in parts)
+
+
+def unpack_all(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        end = at + 4 + int.from_bytes(data[at : at + 4], "little")
+        out.append(unpack(data[at + 4 : end]))
+        at = end
+    return out

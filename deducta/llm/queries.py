@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, media, near_dup, quality, sharding, substring, url_filter
+from . import bpe, chat, decontaminate, media, near_dup, pitman_yor, quality, sharding, substring, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_media": media.op2_media,
+    "op3_pitman_yor": pitman_yor.op3_pitman_yor,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_substring": substring.op6_substring,
