@@ -22,7 +22,7 @@ from .common import arrow_schema, key_schema, table, text_or_empty
 
 CHUNK, OVERLAP, WIDTH, STRIDE, FILTERS = 256, 16, 6, 2, 16
 #: The bound of the training sample: documents of each label, taken in the order of a hash, and the largest of them.
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 700, 20_000
+SAMPLE_PER_LABEL, SAMPLE_BYTES = 800, 20_000
 LEAST_STEPS = 350
 THRESHOLD = 0.7
 SYMBOLS = 257  # bytes and padding
@@ -125,11 +125,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     if len(balance) < 2:
         net.offset = {0: -4.6, 1: 4.6}[next(iter(balance))] if balance else 0.0
         return net
-    body = docs.select(key, text_or_empty(text).alias("__text")).filter(F.octet_length("__text") <= SAMPLE_BYTES).join(clean, key)
-    by = [F.xxhash64("__text"), F.col(key)]
-    sample = []
+    there = clean.join(docs.select(key).distinct(), key, "left_semi")
+    chosen = {}
     for value in (0, 1):
-        sample += body.filter(F.col("__label") == value).orderBy(*by).limit(SAMPLE_PER_LABEL).select("__text", "__label").collect()
+        chosen |= {r[key]: value for r in there.filter(F.col("__label") == value).orderBy(F.xxhash64(key), key).limit(SAMPLE_PER_LABEL).collect()}
+    # a few texts, picked out of the scan; no text is shuffled but those
+    body = docs.filter(F.col(key).isin(list(chosen))).select(key, text_or_empty(text).alias("__text")).filter(F.octet_length("__text") <= SAMPLE_BYTES)
+    sample = [{"__text": r["__text"], "__label": chosen[r[key]]} for r in body.groupBy(key).agg(F.min("__text").alias("__text")).orderBy(F.xxhash64(key), key).collect()]
     found = sum(r["__label"] for r in sample), sum(1 - r["__label"] for r in sample)
     if not all(found):
         return net
