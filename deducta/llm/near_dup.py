@@ -175,7 +175,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """tid binary (of a text's bytes) and class_id: a row for each distinct text."""
+    """tid binary (of a text's bytes), first_id (the smallest key of a document with that text) and class_id: a row for each
+    distinct text."""
     nodes = staged(sketch(docs, key, text), "sketches")
     entries = nodes.select("tid", "n", F.explode("keys").alias("bucket")).filter("bucket is not null")
     crowded = entries.groupBy("bucket").agg(F.count("*").alias("texts"), F.sum("n").alias("load")).filter("texts > 1")
@@ -203,7 +204,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     found = components(links.union(rest))
     named = nodes.join(found, nodes.tid == found.node, "left").select("tid", "first_id", F.coalesce("component", "tid").alias("component"))
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    return named.join(classes, "component").select("tid", "class_id")
+    return named.join(classes, "component").select("tid", "first_id", "class_id")
 
 
 def second_round(members: DataFrame, lists: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
@@ -267,11 +268,14 @@ def compare(bucket: int, left, right, same: bool) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with class_id, the smallest key of each document's group of near duplicates."""
-    base = docs.drop("class_id")
-    found = near_duplicates(base, key, text)
-    return base.withColumn("__tid", F.unhex(F.md5(text_or_empty(f"`{text}`")))).join(found.withColumnRenamed("tid", "__tid"), "__tid").drop("__tid")
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest key, the least text by digest if it has several, and
+    one of repeated rows."""
+    found = near_duplicates(docs, key, text).filter(F.col("first_id").eqNullSafe(F.col("class_id")))
+    kept = found.groupBy("class_id").agg(F.min("tid").alias("__tid"))
+    rows = docs.withColumn("__tid", F.unhex(F.md5(text_or_empty(f"`{text}`"))))
+    on = (rows["__tid"] == kept["__tid"]) & rows[key].eqNullSafe(kept["class_id"])
+    return rows.join(kept, on, "left_semi").dropDuplicates(["__tid", key]).drop("__tid")
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
