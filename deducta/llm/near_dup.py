@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 from .common import WORD, arrow_schema, grams, mix, staged, table, text_or_empty, word_hashes
 
 SHINGLE = 5
-#: Samples and shingles of each, for texts with LEAST_LONG shingles and more, and for those with up to MOST_SHORT.
+#: Samples and shingles of each, for texts with LEAST_LONG shingles and more, and for those with up to MOST_SHORT. Of the long
+#: samples the first BUCKETED make buckets (at a similarity of 0.8 one in 17,000 pairs shares none of them); the others are
+#: kept in 32 bits, for the count of agreeing samples.
 LONG, SHORT = (64, 6), (24, 2)
+BUCKETED = 32
 LEAST_LONG, MOST_SHORT = 16, 20
 #: Agreeing samples below which a pair isn't aligned in the second round; at 0.8 about 16 and 15 agree.
 AGREE_LONG, AGREE_SHORT = 6, 6
-BLOCK_TEXTS, BLOCK_SHINGLES = 256, 200_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 400_000
 
 _ODD = mix(np.arange(1, LONG[0] + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
@@ -112,31 +115,35 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """tid binary, first_id, n int, keys array<long> (long samples, then short ones, null where not taken): a row for each distinct text."""
+    """tid binary, first_id, n int, keys array<long> (bucketed long samples, then short ones, null where not taken), prints binary (the
+    other long samples): a row for each distinct text."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), text_or_empty(f"`{text}`").alias("body")).select(F.unhex(F.md5("body")).alias("tid"), "id", "body")
-    schema = f"tid binary, id {rows.schema['id'].dataType.simpleString()}, n int, keys array<bigint>"
+    schema = f"tid binary, id {rows.schema['id'].dataType.simpleString()}, n int, keys array<bigint>, prints binary"
     arrow = arrow_schema(schema)
 
     def run(batches):
         seen, done = {}, set()
-        none_long, none_short = [None] * LONG[0], [None] * SHORT[0]
+        none_long, none_short = [None] * BUCKETED, [None] * SHORT[0]
         for batch in batches:
-            bodies, sizes, keys = batch.column("body"), [], []
+            bodies, sizes, keys, prints = batch.column("body"), [], [], []
             for i, tid in enumerate(batch.column("tid").to_pylist()):
                 if tid in done:  # a copy needs no second sketch
                     sizes.append(None)
                     keys.append(None)
+                    prints.append(None)
                     continue
                 if len(done) > 200_000:
                     done.clear()
                 done.add(tid)
                 found = shingles(bodies[i].as_py(), seen)
                 sizes.append(len(found))
-                keys.append((sample(found, *LONG, 0).tolist() if len(found) >= LEAST_LONG else none_long) + (sample(found, *SHORT, 1).tolist() if len(found) <= MOST_SHORT else none_short))
+                long = sample(found, *LONG, 0) if len(found) >= LEAST_LONG else None
+                keys.append((none_long if long is None else long[:BUCKETED].tolist()) + (sample(found, *SHORT, 1).tolist() if len(found) <= MOST_SHORT else none_short))
+                prints.append(b"" if long is None else (long[BUCKETED:] & 0xFFFFFFFF).astype(np.uint32).tobytes())
             if sizes:
-                yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("id"), pa.array(sizes, type=pa.int32()), pa.array(keys, type=arrow.field("keys").type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("id"), pa.array(sizes, type=pa.int32()), pa.array(keys, type=arrow.field("keys").type), pa.array(prints, type=pa.binary())], schema=arrow)
 
-    return rows.mapInArrow(run, schema).groupBy("tid").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys"))
+    return rows.mapInArrow(run, schema).groupBy("tid").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys"), F.max("prints").alias("prints"))
 
 
 def aligned(pairs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -211,34 +218,35 @@ def second_round(members: DataFrame, lists: DataFrame, nodes: DataFrame, found:
     """Links between texts of a bucket that the first round left in several components."""
     placed = members.join(found, members.tid == found.node, "left").select("bucket", "tid", "texts", "load", F.coalesce("component", "tid").alias("c"))
     unsettled = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("bucket")
-    loaded = placed.join(unsettled, "bucket").join(nodes.select("tid", "keys"), "tid").join(lists, "tid")
     count = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("long")
-    blocked = loaded.withColumn("block", F.pmod(F.xxhash64("tid"), count)).groupBy("bucket", "block").agg(F.collect_list(F.struct("tid", "c", "keys", "shingles")).alias("rows"))
-    blocked = staged(blocked, "blocks")
-    pairs = blocked.alias("p").join(blocked.select("bucket", F.col("block").alias("block2"), F.col("rows").alias("rows2")).alias("q"), "bucket").filter("block <= block2")
+    info = nodes.select("tid", "keys", "prints").join(lists, "tid")
+    loaded = placed.join(unsettled, "bucket").join(info, "tid").withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("tid"), "blocks"))
+    blocked = loaded.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("tid", "c", "keys", "prints", "shingles")).alias("rows"))
     schema = "a binary, b binary"
     arrow = arrow_schema(schema)
-    total = LONG[0] + SHORT[0]
 
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                bucket = batch.column("bucket")[r].as_py()
-                same = batch.column("block")[r].as_py() == batch.column("block2")[r].as_py()
-                left = _unpacked(batch.column("rows")[r].values, total)
-                right = left if same else _unpacked(batch.column("rows2")[r].values, total)
-                out = compare(bucket, left, right, same)
+                left = _unpacked(batch.column("rows")[r].values)
+                alone = batch.column("rows2")[r].values is None
+                out = compare(batch.column("bucket")[r].as_py(), left, left if alone else _unpacked(batch.column("rows2")[r].values), alone)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], type=pa.binary()), pa.array([y for _, y in out], type=pa.binary())], schema=arrow)
 
-    return pairs.select("bucket", "block", "block2", "rows", "rows2").mapInArrow(run, schema)
+    alone = blocked.select("bucket", "rows", F.lit(None).cast(blocked.schema["rows"].dataType).alias("rows2")).mapInArrow(run, schema)
+    large = staged(blocked.filter("blocks > 1"), "blocks")  # buckets of more than one block
+    pairs = large.select("bucket", "block", "rows").join(large.select("bucket", F.col("block").alias("block2"), F.col("rows").alias("rows2")), "bucket").filter("block < block2")
+    return alone.union(pairs.select("bucket", "rows", "rows2").mapInArrow(run, schema))
 
 
-def _unpacked(rows: pa.StructArray, total: int):
+def _unpacked(rows: pa.StructArray):
     tids, comps = rows.field("tid").to_pylist(), rows.field("c").to_pylist()
-    keys = rows.field("keys")
-    flat = keys.flatten()
-    return tids, comps, flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, total), ~np.asarray(flat.is_null()).reshape(-1, total), [np.frombuffer(x, dtype=np.uint64) for x in rows.field("shingles").to_pylist()]
+    flat = rows.field("keys").flatten()
+    width = BUCKETED + SHORT[0]
+    rest = LONG[0] - BUCKETED
+    prints = np.array([np.frombuffer(x, dtype=np.uint32) if x else np.zeros(rest, dtype=np.uint32) for x in rows.field("prints").to_pylist()]).reshape(-1, rest)
+    return tids, comps, flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, width), ~np.asarray(flat.is_null()).reshape(-1, width), prints, [np.frombuffer(x, dtype=np.uint64) for x in rows.field("shingles").to_pylist()]
 
 
 def compare(bucket: int, left, right, same: bool) -> list[tuple[bytes, bytes]]:
@@ -250,12 +258,13 @@ def compare(bucket: int, left, right, same: bool) -> list[tuple[bytes, bytes]]:
             parent[x] = x = parent[parent[x]]
         return x
 
-    tids, comps, keys, taken, lists = left
-    tids2, comps2, keys2, taken2, lists2 = right
+    tids, comps, keys, taken, prints, lists = left
+    tids2, comps2, keys2, taken2, prints2, lists2 = right
     out = []
     for i in range(len(tids)):
         equal = (keys2 == keys[i]) & taken2 & taken[i]
-        fits = (equal[:, : LONG[0]].sum(axis=1) >= AGREE_LONG) | (equal[:, LONG[0] :].sum(axis=1) >= AGREE_SHORT)
+        long = equal[:, :BUCKETED].sum(axis=1) + np.where(taken2[:, 0] & taken[i, 0], (prints2 == prints[i]).sum(axis=1), 0)
+        fits = (long >= AGREE_LONG) | (equal[:, BUCKETED:].sum(axis=1) >= AGREE_SHORT)
         if same:
             fits[: i + 1] = False
         for j in np.flatnonzero(fits).tolist():
