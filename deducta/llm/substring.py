@@ -164,7 +164,8 @@ def repeats(docs: DataFrame, profiled: DataFrame, firsts: DataFrame, key: str =
     some and isn't a copy; and the texts that were looked at: id, tid, body. firsts: tid, first_id."""
     id_type = _id(docs, key)
     held = profiled.select("t", F.explode("anchors").alias("h"))
-    shared = held.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("h")
+    # staged, so that the joins below are plain ones and Spark can split a hot key's rows
+    shared = staged(held.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("h"), "shared-anchors")
     lists = held.join(shared, "h").groupBy("t").agg(F.collect_set("h").alias("hs"))  # no more than a text's anchors
     wanted = firsts.withColumn("t", F.conv(F.substring(F.lower(F.hex("tid")), 1, 15), 16, 10).cast("long")).join(lists, "t").select("tid", F.col("first_id").alias("id"), "hs")
     near = staged(_keyed(docs, key, text).drop("t").filter("id is not null").join(wanted, ["tid", "id"]).dropDuplicates(["tid", "id"]), "near-repeats")
@@ -183,7 +184,7 @@ def repeats(docs: DataFrame, profiled: DataFrame, firsts: DataFrame, key: str =
     windows_schema = f"id {id_type}, tid binary, w bigint, p int"
     windows_arrow = arrow_schema(windows_schema)
     windows = staged(near.select("id", "tid", "body", "hs").mapInArrow(dense, windows_schema), "windows")
-    several = windows.groupBy("w").agg(F.min("id").alias("ref"), F.max("id").alias("last")).filter("ref < last").select("w", "ref")
+    several = staged(windows.groupBy("w").agg(F.min("id").alias("ref"), F.max("id").alias("last")).filter("ref < last").select("w", "ref"), "shared-windows")
     by_text = windows.join(several, "w").groupBy("id", "tid").agg(F.sort_array(F.collect_list(F.struct("p", "ref"))).alias("at"))  # no more than a text's words
 
     def passages(batches):
