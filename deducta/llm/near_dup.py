@@ -186,7 +186,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     distinct text."""
     nodes = staged(sketch(docs, key, text), "sketches")
     entries = nodes.select("tid", "n", F.explode("keys").alias("bucket")).filter("bucket is not null")
-    crowded = entries.groupBy("bucket").agg(F.count("*").alias("texts"), F.sum("n").alias("load")).filter("texts > 1")
+    # staged, so that the join below is a plain one and Spark can split a hot bucket's rows
+    crowded = staged(entries.groupBy("bucket").agg(F.count("*").alias("texts"), F.sum("n").alias("load")).filter("texts > 1"), "crowded")
     members = staged(entries.join(crowded, "bucket"), "members")
 
     bodies = docs.select(F.unhex(F.md5(text_or_empty(f"`{text}`"))).alias("tid"), F.col(f"`{key}`").alias("first_id"), text_or_empty(f"`{text}`").alias("body"))
