@@ -137,9 +137,10 @@ def snippet(text: Column, path: Column, title: Column, query: str, terms: list[s
     return F.coalesce(around(squeeze(text)), around(whole), F.substring(whole, 1, 260))
 
 
-def text_search(units: DataFrame, query: str, limit: int, scope: str = "all", symbols: DataFrame | None = None) -> DataFrame:
+def text_search(units: DataFrame, query: str, limit: int | None, scope: str = "all", symbols: DataFrame | None = None) -> DataFrame:
     """unit, score, path, match_line, kind, title, snippet of the best units: by score, path, line and unit. units: repository, unit,
-    ordinal, kind, title, path, start_line, end_line, model, text; symbols: repository, path, name, start_line, end_line."""
+    ordinal, kind, title, path, start_line, end_line, model, text; symbols: repository, path, name, start_line, end_line. Without a
+    limit all hits, in no order."""
     terms, low_query = search_terms(query), query.translate({c: c + 32 for c in range(65, 91)})
     rows = units if scope not in ("docs", "code", "tests", "benches", "sketches") else units.filter(text_scope(F.col("path")) == scope)
     if not terms:
@@ -165,7 +166,7 @@ def text_search(units: DataFrame, query: str, limit: int, scope: str = "all", sy
         extra = own.join(s, overlap).groupBy("unit").agg(F.sum(F.when(ascii_lower(F.col("name")) == low_query, SYMBOL_SCORES["equal"]).otherwise(SYMBOL_SCORES["contains"])).alias("__more"), F.min("a").alias("__a"))
         own = own.join(extra, "unit", "left").withColumn("__score", F.col("__score") + F.coalesce("__more", F.lit(0))).withColumn("__line", F.coalesce("__line", F.col("__a").cast("int")))
     found = own.filter("__score > 0").select("unit", F.col("__score").cast("int").alias("score"), "path", F.coalesce("__line", F.col("start_line").cast("int")).alias("match_line"), "kind", "title", snippet(F.col("text"), F.col("path"), F.col("title"), query, terms or [""]).alias("snippet"))
-    return found.orderBy(F.desc("score"), "path", "match_line", "unit").limit(limit)
+    return found if limit is None else found.orderBy(F.desc("score"), "path", "match_line", "unit").limit(limit)
 
 
 #: Bounds of a text unit.

@@ -33,16 +33,22 @@ def fold(changes: DataFrame, columns: list[str], order: str = "version") -> Data
     return changes.groupBy(*columns).agg(F.max_by("op", order).alias("op"))
 
 
-@dataclass
 class Replica:
-    """A copy of a relation that batches of changes keep up to date. Applying a batch twice changes nothing."""
+    """A copy of a relation that batches of changes keep up to date. It remembers the last change of each tuple, so batches may come
+    again or out of order."""
+
+    def __init__(self, start: DataFrame, version: int = 0):
+        self.columns = start.columns
+        self.last = start.withColumns({"op": F.lit("+"), "version": F.lit(version).cast("long")})
 
-    state: DataFrame
+    def apply(self, changes: DataFrame) -> None:
+        """changes: the columns, op and version."""
+        both = self.last.unionByName(changes.select(*self.columns, "op", F.col("version").cast("long").alias("version")))
+        last = both.groupBy(*self.columns).agg(F.max(F.struct("version", "op")).alias("l"))
+        self.last = staged(last.select(*self.columns, "l.op", "l.version"), "replica")
 
-    def apply(self, changes: DataFrame, order: str = "version") -> None:
-        columns = self.state.columns
-        last = fold(changes, columns, order)
-        self.state = staged(self.state.join(last, columns, "left_anti").union(last.filter("op = '+'").drop("op")), "replica")
+    def read(self) -> DataFrame:
+        return self.last.filter("op = '+'").select(*self.columns)
 
 
 def follow(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True):
