@@ -70,7 +70,7 @@ def exists(df: DataFrame, *terms: object) -> bool:
 
 def visit(df: DataFrame, accept, *terms: object) -> None:
     """Hands rows to accept until it returns False; partitions that come later aren't read."""
-    for row in bound(df, *terms).toLocalIterator():
+    for row in bound(df, *(terms or [ANY] * len(df.columns))).toLocalIterator():
         if accept(row) is False:
             return
 
