@@ -17,14 +17,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _drop_at_exit(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 class Table:
     """A set that grows by rounds: each is written once, so a plan that reads it has no lineage but files."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.paths, self.schema, self.rows = spark, [], None, 0
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        at = spark._jvm.org.apache.hadoop.fs.Path(self.base)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+        _drop_at_exit(spark, self.base)
 
     def add(self, df: DataFrame) -> int:
         """Writes df as the next round; how many rows it had."""
@@ -41,7 +45,16 @@ class Table:
         return self.spark.read.schema(self.schema).parquet(*(self.paths[-1:] if last else self.paths))
 
 
-def staged(df: DataFrame, name: str = "staged") -> DataFrame:
-    out = Table(df.sparkSession, name)
-    out.add(df)
-    return out.read()
+def staged(df: DataFrame, name: str = "staged", by: str | None = None) -> DataFrame:
+    """df, written and read again: later readers neither repeat its work nor depend on its executors. With by, it is bucketed by that
+    column, so that grouping by it needs no shuffle."""
+    spark, key = df.sparkSession, uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/{name}-{key}"
+    write = df.write.option("compression", "zstd")
+    if by:
+        own = f"{name.replace('-', '_')}_{key}"
+        write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(own)
+    else:
+        write.parquet(path)
+    _drop_at_exit(spark, path)
+    return spark.table(own) if by else spark.read.schema(df.schema).parquet(path)
