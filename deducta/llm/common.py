@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import uuid
 import zlib
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.scratch import staged as staged
+
 #: A word of a text: a run of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -22,33 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; where none is set, one for a single machine is."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file:/tmp/checkpoints/{spark.sparkContext.applicationId}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df, written to the shared folder and read again: later readers neither repeat its work nor depend on its executors.
-    With by, it is bucketed by that column, so that grouping by it needs no shuffle."""
-    spark = df.sparkSession
-    key = uuid.uuid4().hex
-    path = f"{shared_dir(spark)}/{name}-{key}"
-    write = df.write.option("compression", "zstd")
-    if by:
-        own = f"{name.replace('-', '_')}_{key}"
-        write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).saveAsTable(own)
-    else:
-        write.parquet(path)
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.table(own) if by else spark.read.schema(df.schema).parquet(path)
-
-
 def buckets_for(df: DataFrame, mb: int = 16) -> int:
     """Number of hash buckets for what is gathered from df: the shuffle partitions, or more for a large input."""
     spark = df.sparkSession
