@@ -22,7 +22,7 @@ from .common import arrow_schema, key_schema, table, text_or_empty
 
 CHUNK, OVERLAP, WIDTH, STRIDE, FILTERS = 256, 16, 6, 2, 16
 #: The bound of the training sample: documents of each label, taken in the order of a hash, and the largest of them.
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 800, 20_000
+SAMPLE_PER_LABEL, SAMPLE_BYTES = 1600, 12_000
 LEAST_STEPS = 350
 THRESHOLD = 0.7
 SYMBOLS = 257  # bytes and padding
