@@ -330,10 +330,12 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numb
                     raise ValueError("an unknown residual coding")
                 wide, parts = take(pos, 2) + 4, np.int64(1) << take(pos + 2, 4)
                 pos, k, raw_bits = pos + 6, None, np.zeros(len(rows), dtype=np.int64)
-                where = np.searchsorted(ones, pos)
+                where, escaped = None, False
+                # samples at which some frame begins a partition, and reads its parameter
+                begins = {order, *(t for q in np.unique(parts).tolist() for t in range(0, n, n // q) if t > order)}
                 for t in range(order, n):
-                    fresh = (t % (n // parts) == 0) | (t == order)
-                    if fresh.any():
+                    if t in begins:
+                        fresh = (t % (n // parts) == 0) | (t == order)
                         read = take(pos, wide)
                         escape = fresh & (read == (np.int64(1) << wide) - 1)
                         k = np.where(fresh, read, 0 if k is None else k)
@@ -342,10 +344,12 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numb
                         pos = pos + np.where(escape, 5, 0)
                         where = np.searchsorted(ones, pos)
                         escaped = bool((raw_bits >= 0).any())
+                        shift_k = (32 - k).astype(np.uint64)
                     stop = ones[np.minimum(where, len(ones) - 1)]
-                    low = take(stop + 1, k)
+                    after = stop + 1
+                    low = (((words[after >> 3].astype(np.uint64) << (after & 7).astype(np.uint64)) & _U32) >> shift_k).astype(np.int64)
                     z = (stop - pos) << k | low
-                    after = stop + 1 + k
+                    after = after + k
                     value = (z >> 1) ^ -(z & 1)
                     if escaped:
                         own = raw_bits >= 0
@@ -370,11 +374,12 @@ def _decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numb
     return out
 
 
+_U32 = np.uint64(0xFFFFFFFF)
 _POP = np.array([bin(i).count("1") for i in range(1 << 14)], dtype=np.int64)
 
 
 def _ones_in(v: np.ndarray) -> np.ndarray:
-    return _POP[v & 0x3FFF] + _POP[v >> 14]
+    return _POP[v] if int(v.max()) < 1 << 14 else _POP[v & 0x3FFF] + _POP[v >> 14]
 
 
 def decode_many(streams: list[bytes], verify: bool = True) -> list[bytes]:
