@@ -38,6 +38,8 @@ LEAST_LONG, MOST_SHORT = 16, 20
 #: Agreeing samples below which a pair isn't aligned in the second round; at 0.8 about 16 and 15 agree.
 AGREE_LONG, AGREE_SHORT = 6, 6
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 400_000
+#: A round of the components has a task for so many links; few links need no more files.
+LINKS_PER_TASK = 250_000
 
 _ODD = mix(np.arange(1, LONG[0] + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
@@ -173,7 +175,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = staged(small, "links")
+        edges = staged(small.coalesce(1 + before[0] // LINKS_PER_TASK), "links")
         after = mark(edges)
         if after == before:
             break
