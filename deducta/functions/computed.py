@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.algebra import positional
@@ -169,18 +170,59 @@ def text_search(units: DataFrame, query: str, limit: int | None, scope: str = "a
     return found if limit is None else found.orderBy(F.desc("score"), "path", "match_line", "unit").limit(limit)
 
 
-#: Bounds of a text unit.
-CHUNK_LINES, CHUNK_BYTES = 80, 4_000
-
-
-def text_units(files: DataFrame, repository: str = "repository", path: str = "path", text: str = "text", lines: int = CHUNK_LINES) -> DataFrame:
-    """Chunks of consecutive lines of each file: repository, path, ordinal, start_line, end_line, title, text; blank ones are left out."""
-    numbered = files.select(F.col(repository).alias("repository"), F.col(path).alias("path"), F.posexplode(_lines(F.col(text))).alias("n", "line"))
-    chunks = numbered.groupBy("repository", "path", F.floor(F.col("n") / lines).cast("int").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("ls"))
-    rows = chunks.select("repository", "path", "chunk", (F.col("ls")[0]["n"] + 1).alias("start_line"), (F.element_at("ls", -1)["n"] + 1).alias("end_line"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text")).filter(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")) != "")
-    ordinal = F.row_number().over(Window.partitionBy("repository", "path").orderBy("chunk"))
-    title = F.concat("path", F.lit(":"), F.when(F.col("start_line") == F.col("end_line"), F.col("start_line").cast("string")).otherwise(F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string"))))
-    return rows.select("repository", "path", ordinal.alias("ordinal"), "start_line", "end_line", title.alias("title"), "text")
+#: Bounds of a text unit.
+CHUNK_LINES, CHUNK_BYTES = 40, 1_200
+
+
+def chunk_lines(text: str, lines: int = CHUNK_LINES, size: int = CHUNK_BYTES) -> list[tuple[int, int, str]]:
+    """First line, last line and text of chunks of consecutive lines, each as long as both bounds allow. A line beyond the size is cut
+    between characters. Blank chunks are left out."""
+    out: list[tuple[int, int, str]] = []
+    held: list[str] = []
+    first = used = 0
+
+    def flush() -> None:
+        nonlocal used
+        if held:
+            out.append((first, first + len(held) - 1, "\n".join(held)))
+            held.clear()
+        used = 0
+
+    own = text.split("\n")
+    if own and not own[-1]:
+        own.pop()
+    for n, line in enumerate(own, 1):
+        line = line.removesuffix("\r")
+        raw = line.encode("utf-8", "surrogatepass")
+        if held and (len(held) >= lines or used + 1 + len(raw) > size):
+            flush()
+        if len(raw) > size:
+            while raw:
+                cut = min(size, len(raw))
+                while cut < len(raw) and raw[cut] & 0xC0 == 0x80:
+                    cut -= 1
+                out.append((n, n, raw[:cut].decode("utf-8", "surrogatepass")))
+                raw = raw[cut:]
+            continue
+        if not held:
+            first = n
+        used += len(raw) + bool(held)
+        held.append(line)
+    flush()
+    return [c for c in out if c[2].strip()]
+
+
+def text_units(files: DataFrame, repository: str = "repository", path: str = "path", text: str = "text", lines: int = CHUNK_LINES, size: int = CHUNK_BYTES) -> DataFrame:
+    """Chunks of each file: repository, path, ordinal, start_line, end_line, title, text. A file's state decides where a chunk ends, so
+    it is an Arrow-batched function of a file; nothing is shuffled."""
+
+    @F.pandas_udf("array<struct<start_line:int,end_line:int,text:string>>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(("start_line", "end_line", "text"), c, strict=True)) for c in chunk_lines(t or "", lines, size)])
+
+    rows = files.select(F.col(repository).alias("repository"), F.col(path).alias("path"), F.posexplode(cut(F.col(text))).alias("n", "u")).select("repository", "path", (F.col("n") + 1).alias("ordinal"), "u.start_line", "u.end_line", "u.text")
+    title = F.concat(F.col("path").cast("string"), F.lit(":"), F.when(F.col("start_line") == F.col("end_line"), F.col("start_line").cast("string")).otherwise(F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string"))))
+    return rows.select("repository", "path", "ordinal", "start_line", "end_line", title.alias("title"), "text")
 
 
 def _lines(text: Column) -> Column:

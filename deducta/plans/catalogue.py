@@ -489,7 +489,7 @@ _NONE_BLANK = "trim(regexp_replace(body, '\\s+', ' ', 'g')) <> ''"
 )
 def text_units(spark, sf_dir):
     d = Tables(spark, sf_dir)("documents").select(F.lit("corpus").alias("repository"), F.col("doc_id").alias("path"), "text")
-    return computed.text_units(d, lines=3).select("path", "ordinal", "start_line", "end_line", "text")
+    return computed.text_units(d, lines=3, size=1 << 30).select("path", "ordinal", "start_line", "end_line", "text")
 
 
 @_register("select doc_id as path, generate_subscripts(string_split(text, chr(10)), 1)::int as line, unnest(string_split(text, chr(10))) as text from documents where text <> ''")
