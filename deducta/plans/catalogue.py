@@ -663,4 +663,85 @@ def stream_apply_changes(spark, sf_dir):
     return replica.read()
 
 
+# the store
+
+
+def _orders_store(spark: SparkSession, sf_dir: str):
+    """A store in the shared folder: orders are bulk loaded; version 2 retracts keys divisible by 5, version 3 moves those by 7 to the
+    next customer and names the priorities of a few."""
+    from ..sources.store import Store
+
+    t = Tables(spark, sf_dir)
+    base = t("orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    store.make_relation("Orders", "k long, c long")
+    store.make_relation("Priority", "k long, p string", key=(0,), policy="functional")
+    store.bulk_load("Orders", base)
+    store.transact(lambda x: x.retract("Orders", base.filter("k % 5 = 0")))
+
+    def work(x) -> None:
+        moved = base.filter("k % 7 = 0 and k % 5 <> 0")
+        x.retract("Orders", moved)
+        x.assert_("Orders", moved.select("k", F.col("c") + 1))
+        x.replace("Priority", t("orders").filter("o_orderkey % 100 = 1").select("o_orderkey", "o_orderpriority"))
+
+    store.transact(work)
+    return store
+
+
+_STORE_SQL = "select o_orderkey as k, case when o_orderkey % 7 = 0 then o_custkey + 1 else o_custkey end as c from orders where o_orderkey % 5 <> 0"
+
+
+@_register(_STORE_SQL)
+def store_read(spark, sf_dir):
+    return _orders_store(spark, sf_dir).read("Orders")
+
+
+@_register("select o_orderkey as k, o_custkey as c from orders where o_orderkey % 5 <> 0")
+def store_time_travel(spark, sf_dir):
+    return _orders_store(spark, sf_dir).read("Orders", 2)
+
+
+@_register("select '-' as op, o_orderkey as k, o_custkey as c from orders where o_orderkey % 5 <> 0 and o_orderkey % 7 = 0 union all select '+', o_orderkey, o_custkey + 1 from orders where o_orderkey % 5 <> 0 and o_orderkey % 7 = 0")
+def subscription_changes(spark, sf_dir):
+    from ..streaming.feed import subscribe
+
+    return subscribe(_orders_store(spark, sf_dir), "Orders", since=2).poll()
+
+
+@_register(f"select k, c, o_orderpriority as p from ({_STORE_SQL}) join orders on o_orderkey = k where k % 100 = 1")
+def store_rules(spark, sf_dir):
+    """Rules over stored relations."""
+    store = _orders_store(spark, sf_dir)
+    store.install("Known(k, c, p) :- Orders(k, c), Priority(k, p)")
+    return store.derived().read("Known").toDF("k", "c", "p")
+
+
+@_register(f"select distinct c from ({_STORE_SQL}) where c % 2 = 0")
+def store_materialized(spark, sf_dir):
+    store = _orders_store(spark, sf_dir)
+    store.make_relation("Buyer", "c long")
+    store.install("Buyer(c) :- Orders(k, c)")
+    store.materialize("Buyer")
+    return store.read("Buyer").filter("c % 2 = 0")
+
+
+@_register("select * from (values (1, 'open_any'), (1, 'open_box'), (1, 'open_locked'), (2, 'open_with')) v(call, method)")
+def dispatch_positional(spark, sf_dir):
+    selectors, params, calls, arguments, up = _dispatch_tables(spark)
+    placed = arguments.filter("call < 3").join(params.select("role", "position").distinct(), "role").select("call", F.col("position").cast("string").alias("role"), "value", "prototype", "delegate")
+    return dispatch.applicable(selectors, params.withColumn("position", F.col("position").cast("string")), calls.filter("call < 3"), placed, up, by="position", exact=True)
+
+
+@_register("select doc_id as path, octet_length(encode(text))::int as bytes, case when text = '' then 0 else len(string_split(text, chr(10))) end::int as lines, sha256(text) as sha256 from documents where source = 'src3'")
+def indexed_files(spark, sf_dir):
+    from ..sources.text_index import Provider, Sources
+
+    sources = Sources(spark)
+    sources.register(Provider("documents", "documents", Tables(spark, sf_dir)("documents").select(F.col("source").alias("repository"), F.col("doc_id").alias("path"), "text")))
+    sources.build("main", "src3", "1", "documents")
+    (files,) = (c for c in sources.relations() if c.name == "IndexedFile")
+    return files.scan("main", *[ANY] * 5).select("path", "bytes", "lines", "sha256")
+
+
 __all__ = ["ORACLE_SQL", "QUERIES"]
