@@ -574,7 +574,7 @@ def dispatch_most_specific(spark, sf_dir):
 
 
 @_register(
-    """select p_partkey as k, length(p_name) as len, array_to_string(string_split(p_name, ''), '-') as chars, p_name || '/' || p_brand as joined,
+    """select p_partkey as k, length(p_name)::int as len, array_to_string(string_split(p_name, ''), '-') as chars, p_name || '/' || p_brand as joined,
     starts_with(p_name, 'b') as starts, contains(p_name, 'ee') as has, lower(p_brand) = lower(upper(p_brand)) as fold, lower(p_type) as low from part"""
 )
 def scalar_strings(spark, sf_dir):
