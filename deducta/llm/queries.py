@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
 }
 ORACLE_SQL = {
+    "op6_substring": substring.ORACLE,
     "op7_url_filter": url_filter.ORACLE,
     "op10_chat": chat.ORACLE,
 }

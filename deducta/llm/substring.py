@@ -281,3 +281,21 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("sha", "whole_sha256")).alias("kept_sha256"),
     )
+
+
+#: Every window of every document, by the contract's definition; rows with null ids have no window that counts.
+ORACLE = r"""
+with w as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents
+), win as (
+  select r, doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) as k from (select r, doc_id, ws, unnest(range(1, len(ws) - 48)) as p from w)
+), dup as (
+  select r, p from win join (select k, min(doc_id) as m from win group by k) using (k) where doc_id > m
+), gone as (
+  select distinct r, p + i as q from dup, range(50) t(i)
+), kept as (
+  select r, string_agg(x, ' ' order by q) as body from (select r, unnest(ws) as x, generate_subscripts(ws, 1) as q from w) anti join gone using (r, q) group by r
+), lost as (select r, count(*) as n from gone group by r)
+select doc_id, len(ws)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(body, '')) as kept_sha256
+from w left join kept using (r) left join lost using (r)
+"""
