@@ -57,4 +57,9 @@ def staged(df: DataFrame, name: str = "staged", by: str | None = None) -> DataFr
     else:
         write.parquet(path)
     _drop_at_exit(spark, path)
-    return spark.table(own) if by else spark.read.schema(df.schema).parquet(path)
+    if not by:
+        return spark.read.schema(df.schema).parquet(path)
+    out = spark.table(own)
+    out.schema  # noqa: B018  the plan is resolved, and with it where the files are
+    spark.sql(f"DROP TABLE {own}")  # the name goes, the files of an external table stay
+    return out
