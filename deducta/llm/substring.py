@@ -201,7 +201,7 @@ def repeats(docs: DataFrame, profiled: DataFrame, firsts: DataFrame, key: str =
     passages_schema = f"ref {id_type}, tid binary, id {id_type}, p int, words string"
     passages_arrow = arrow_schema(passages_schema)
     cut = staged(near.join(by_text, ["id", "tid"]).select("id", "tid", "body", "at").mapInArrow(passages, passages_schema), "passages")
-    references = cut.filter("id = ref").groupBy("ref").agg(F.array_sort(F.collect_list("words")).alias("shared"))  # of one document
+    references = staged(cut.filter("id = ref").groupBy("ref").agg(F.array_sort(F.collect_list("words")).alias("shared")), "references")  # of one document
     streamed = cut.filter("id <> ref").join(references, "ref")
 
     def stream(batches):
