@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.algebra import positional
 from ..sources.scratch import Table, staged
 from ..values import RelationError, same_kinds
-from .fixpoint import _fresh
+from .fixpoint import _fresh, fixpoint
 from .rules import Atom, Rule, _guarded, bindings, check, derive, groups, head, is_recursive, scan, strata, union_all
 
 WEIGHT = "w__"
@@ -112,6 +112,46 @@ def rule_delta(rule: Rule, old: Callable[[str], DataFrame], new: Callable[[str],
     return _summed(out)
 
 
+class Trace:
+    """A relation, or support counts, as a base and the deltas since. The base is never rewritten by a change; after COMPACT_AFTER
+    deltas they are summed up into one. Counts keep weights; a relation's deltas are settled ones."""
+
+    def __init__(self, base: DataFrame):
+        self.base, self.deltas = base, []
+
+    def add(self, d: DataFrame) -> None:
+        self.deltas.append(d)
+        if len(self.deltas) > COMPACT_AFTER:
+            self.deltas = [staged(self.net())]
+
+    def net(self) -> DataFrame | None:
+        if not self.deltas:
+            return None
+        out = self.deltas[0]
+        for d in self.deltas[1:]:
+            out = out.union(d.select(*out.columns))
+        return _summed(out)
+
+    def read(self) -> DataFrame:
+        """A relation's rows."""
+        d = self.net()
+        return self.base if d is None else applied(self.base, d)
+
+    def support(self, of: DataFrame) -> DataFrame:
+        """The counts of the tuples in of; the base is only joined with those."""
+        cols = [c for c in self.base.columns if c != WEIGHT]
+        keys = of.select(*cols).distinct()
+        parts = [self.base, *self.deltas]
+        out = parts[0].join(keys, cols, "left_semi")
+        for p in parts[1:]:
+            out = out.union(p.select(*self.base.columns).join(keys, cols, "left_semi"))
+        return _summed(out)
+
+
+#: Deltas that a trace keeps apart.
+COMPACT_AFTER = 8
+
+
 def advance(counts: DataFrame, change: DataFrame) -> DataFrame:
     """New support counts. A negative one is an error: the state and the changes don't belong together."""
     both = _summed(counts.union(change.select(*counts.columns)))
@@ -127,60 +167,64 @@ def crossings(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def delete_and_rederive(group: list[str], rules: list[Rule], old: Callable[[str], DataFrame], new: Callable[[str], DataFrame], deltas: Mapping[str, DataFrame], before: Mapping[str, DataFrame], facts: Callable[[str], DataFrame | None]) -> dict[str, DataFrame]:
-    """A recursive group after changes outside it. before: its relations so far; facts: its stored facts, already changed."""
+    """The visible deltas of a recursive group. deltas: of what it reads and of its stored facts; before: its relations so far; facts: its
+    stored facts, already changed. Every join starts from what changed."""
     spark = next(iter(before.values())).sparkSession
     lost = {n: staged(d.filter(f"{WEIGHT} < 0").drop(WEIGHT)) for n, d in deltas.items()}
     won = {n: staged(d.filter(f"{WEIGHT} > 0").drop(WEIGHT)) for n, d in deltas.items()}
+    rule_of = lambda h: [r for r in rules if r.head.relation == h]
+    was = lambda x: before[x.relation] if x.relation in group else old(x.relation)
     # over-delete: all that a lost tuple had a part in
     gone = {h: Table(spark, f"gone-{h.lower()}") for h in group}
-    fresh = {h: 0 for h in group}
+    fresh = {}
     for h in group:
-        parts = []
-        for r in (r for r in rules if r.head.relation == h):
-            for a in r.positive:
-                if a.relation in lost:
-                    parts.append(derive(r, lambda x, a=a: lost[x.relation] if x is a else before[x.relation] if x.relation in group else old(x.relation), before[h].schema, first=a))
-            for a in r.negative:
-                if a.relation in won:
-                    parts.append(_negation_gain(r, a, won[a.relation], before, group, old, before[h].schema))
-        if h in lost:
-            parts.append(lost[h])
-        start = union_all(parts).distinct().join(before[h], before[h].columns, "left_semi") if parts else before[h].limit(0)
-        fresh[h] = gone[h].add(start)
+        parts = [lost[h]] if h in lost else []
+        for r in rule_of(h):
+            parts += [derive(r, lambda x, a=a: lost[x.relation] if x is a else was(x), before[h].schema, first=a) for a in r.positive if a.relation in lost and a.relation not in group]
+            parts += [_flipped(r, a, won[a.relation], was, before[h].schema) for a in r.negative if a.relation in won]
+        fresh[h] = gone[h].add(union_all(parts).distinct().join(before[h], before[h].columns, "left_semi") if parts else before[h].limit(0))
     while any(fresh.values()):
         last = {h: gone[h].read(last=True) for h in group}
         more: dict[str, list[DataFrame]] = {h: [] for h in group}
         for r in rules:
-            for a in r.positive:
-                if a.relation in group and fresh[a.relation]:
-                    more[r.head.relation].append(derive(r, lambda x, a=a: last[x.relation] if x is a else before[x.relation] if x.relation in group else old(x.relation), before[r.head.relation].schema, first=a))
+            h = r.head.relation
+            more[h] += [derive(r, lambda x, a=a: last[x.relation] if x is a else was(x), before[h].schema, first=a) for a in r.positive if a.relation in group and fresh[a.relation]]
         fresh = {h: gone[h].add(_fresh(union_all(m), gone[h].read()).join(before[h], before[h].columns, "left_semi") if m else before[h].limit(0)) for h, m in more.items()}
-    # what is left, then rounds of what can be derived from it and from what is new
-    kept = {h: Table(spark, f"kept-{h.lower()}") for h in group}
-    for h in group:
-        kept[h].add(before[h].join(gone[h].read(), before[h].columns, "left_anti"))
+    kept = {h: before[h].join(gone[h].read(), before[h].columns, "left_anti") if gone[h].rows else before[h] for h in group}
+    # derive again what was deleted too much, and what the won tuples add
+    back = {h: Table(spark, f"back-{h.lower()}") for h in group}
+    now = lambda x: kept[x.relation] if x.relation in group else new(x.relation)
     fresh = {}
     for h in group:
-        parts = [derive(r, lambda x: kept[x.relation].read() if x.relation in group else new(x.relation), before[h].schema) for r in rules if r.head.relation == h]
-        f = facts(h)
-        found = union_all([*parts, *([] if f is None else [f])])
-        fresh[h] = kept[h].add(_fresh(found, kept[h].read()))
+        parts = [won[h]] if h in won else []
+        if gone[h].rows:
+            if (f := facts(h)) is not None:
+                parts.append(f.join(gone[h].read(), f.columns, "left_semi"))
+            for r in rule_of(h):
+                wanted = Atom(h, r.head.terms)
+                parts.append(derive(Rule(r.head, (wanted, *r.body)), lambda x, w=wanted: gone[w.relation].read() if x is w else now(x), before[h].schema, first=wanted))
+        for r in rule_of(h):
+            parts += [derive(r, lambda x, a=a: won[x.relation] if x is a else now(x), before[h].schema, first=a) for a in r.positive if a.relation in won and a.relation not in group]
+            parts += [_flipped(r, a, lost[a.relation], now, before[h].schema, keep=True) for a in r.negative if a.relation in lost]
+        fresh[h] = back[h].add(_fresh(union_all(parts), kept[h]) if parts else before[h].limit(0))
     while any(fresh.values()):
-        last, full = {h: kept[h].read(last=True) for h in group}, {h: kept[h].read() for h in group}
+        last = {h: back[h].read(last=True) for h in group}
+        full = {h: kept[h].union(back[h].read()) for h in group}
         more = {h: [] for h in group}
         for r in rules:
-            for a in r.positive:
-                if a.relation in group and fresh[a.relation]:
-                    more[r.head.relation].append(derive(r, lambda x, a=a: last[x.relation] if x is a else full[x.relation] if x.relation in group else new(x.relation), before[r.head.relation].schema, first=a))
-        fresh = {h: kept[h].add(_fresh(union_all(m), full[h]) if m else before[h].limit(0)) for h, m in more.items()}
-    return {h: t.read() for h, t in kept.items()}
+            h = r.head.relation
+            more[h] += [derive(r, lambda x, a=a: last[x.relation] if x is a else full[x.relation] if x.relation in group else new(x.relation), before[h].schema, first=a) for a in r.positive if a.relation in group and fresh[a.relation]]
+        fresh = {h: back[h].add(_fresh(union_all(m), full[h]) if m else before[h].limit(0)) for h, m in more.items()}
+    # what was there before and is back again hasn't changed
+    weigh = lambda df, w: df.withColumn(WEIGHT, F.lit(w).cast("long"))
+    return {h: staged(weigh(back[h].read().join(before[h], before[h].columns, "left_anti"), 1).union(weigh(gone[h].read().join(back[h].read(), before[h].columns, "left_anti"), -1))) for h in group}
 
 
-def _negation_gain(rule: Rule, at: Atom, won: DataFrame, before, group, old, like) -> DataFrame:
-    """Tuples that a negated relation's new rows may have taken the ground from."""
-    positive = Rule(rule.head, tuple(x for x in rule.body if x is not at) + (Atom(at.relation, at.terms),))
-    extra = positive.body[-1]
-    return derive(positive, lambda x: won if x is extra else before[x.relation] if x.relation in group else old(x.relation), like, first=extra)
+def _flipped(rule: Rule, at: Atom, rows: DataFrame, read: Callable[[Atom], DataFrame], like, keep: bool = False) -> DataFrame:
+    """Heads of a rule's bindings that match rows at a negated atom. keep: the negation itself must hold too."""
+    extra = Atom(at.relation, at.terms)
+    body = tuple(x for x in rule.body if keep or x is not at)
+    return derive(Rule(rule.head, (*body, extra)), lambda x: rows if x is extra else read(x), like, first=extra)
 
 
 @dataclass
@@ -190,8 +234,8 @@ class Maintained:
     rules: list[Rule]
     stored: dict[str, DataFrame]
     targets: list[str]
-    counts: dict[str, DataFrame] = field(default_factory=dict)
-    relations: dict[str, DataFrame] = field(default_factory=dict)
+    counts: dict[str, Trace] = field(default_factory=dict)
+    relations: dict[str, Trace] = field(default_factory=dict)
 
     def __post_init__(self):
         for r in self.rules:
@@ -204,13 +248,12 @@ class Maintained:
                 wanted.add(n)
                 todo += [x.relation for r in self.rules if r.head.relation == n for x in r.body if isinstance(x, Atom)]
         self.order = [g for g in groups(self.rules) if set(g) & wanted]
-        self.stored = {n: staged(positional(d)) for n, d in self.stored.items()}
-        from .fixpoint import fixpoint
-
+        # stored relations are read where they are; only what is derived is written
+        self.facts_of = {n: Trace(positional(d)) for n, d in self.stored.items()}
         for g in self.order:
             own = [r for r in self.rules if r.head.relation in g]
             if is_recursive(g, own):
-                self.relations |= {h: staged(d) for h, d in fixpoint(g, own, self.facts, self.read).items()}
+                self.relations |= {h: Trace(staged(d)) for h, d in fixpoint(g, own, self.facts, self.read).items()}
             else:
                 h = g[0]
                 parts = [support(r, self.read) for r in own]
@@ -219,25 +262,28 @@ class Maintained:
                 total = parts[0]
                 for p in parts[1:]:
                     total = total.union(p)
-                self.counts[h] = staged(_summed(total))
-                self.relations[h] = self.counts[h].drop(WEIGHT)
+                base = staged(_summed(total))
+                self.counts[h], self.relations[h] = Trace(base), Trace(base.drop(WEIGHT))
 
     def facts(self, name: str) -> DataFrame | None:
-        return self.stored.get(name)
+        return self.facts_of[name].read() if name in self.facts_of else None
 
     def read(self, name: str) -> DataFrame:
-        return self.relations[name] if name in self.relations else self.stored[name]
+        return (self.relations.get(name) or self.facts_of[name]).read()
+
+    def support(self, name: str) -> DataFrame:
+        """All support counts of a relation."""
+        t = self.counts[name]
+        return t.base if not t.deltas else _summed(t.base.union(t.net().select(*t.base.columns)))
 
     def advance(self, changes: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
         """Takes deltas of stored relations; returns the visible deltas of the warm derived ones."""
-        before = dict(self.relations)
-        old_stored = dict(self.stored)
-        raw = {n: staged(settle(d, self.stored[n])) for n, d in changes.items()}
+        before = {n: t.read() for n, t in (self.facts_of | self.relations).items()}
+        raw = {n: staged(settle(d, self.facts_of[n].read())) for n, d in changes.items()}
         raw = {n: d for n, d in raw.items() if not d.isEmpty()}
         for n, d in raw.items():
-            self.stored[n] = staged(applied(self.stored[n], d))
+            self.facts_of[n].add(d)
         deltas = {n: d for n, d in raw.items() if n not in self.relations}
-        old = lambda n: before[n] if n in before else old_stored[n]
         for g in self.order:
             own = [r for r in self.rules if r.head.relation in g]
             touched = any(x.relation in deltas for r in own for x in r.body if isinstance(x, Atom)) or any(h in raw for h in g)
@@ -245,20 +291,20 @@ class Maintained:
                 continue
             if is_recursive(g, own):
                 outside = {n: d for n, d in deltas.items() if n not in g} | {h: raw[h] for h in g if h in raw}
-                after = delete_and_rederive(g, own, old, self.read, outside, {h: before[h] for h in g}, self.facts)
-                for h in g:
-                    seen = crossings(before[h].withColumn(WEIGHT, F.lit(1).cast("long")), after[h].withColumn(WEIGHT, F.lit(1).cast("long")))
-                    self.relations[h] = staged(after[h])
-                    deltas[h] = staged(seen)
+                found = delete_and_rederive(g, own, before.__getitem__, self.read, outside, {h: before[h] for h in g}, self.facts)
             else:
                 h = g[0]
-                parts = [p for r in own if (p := rule_delta(r, old, self.read, deltas)) is not None]
+                parts = [p for r in own if (p := rule_delta(r, before.__getitem__, self.read, deltas)) is not None]
                 if h in raw:
                     parts.append(raw[h])
                 total = parts[0]
                 for p in parts[1:]:
                     total = total.union(p.select(*total.columns))
-                after = staged(advance(self.counts[h], total))
-                deltas[h] = staged(crossings(self.counts[h], after))
-                self.counts[h], self.relations[h] = after, after.drop(WEIGHT)
+                change = staged(_summed(total))
+                old = staged(self.counts[h].support(change))
+                found = {h: staged(crossings(old, advance(old, change)))}
+                self.counts[h].add(change)
+            for h, d in found.items():
+                deltas[h] = d
+                self.relations[h].add(d)
         return {h: deltas[h] for g in self.order for h in g if h in deltas}
