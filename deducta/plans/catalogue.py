@@ -413,35 +413,38 @@ def incr_counting_join(spark, sf_dir):
     return m.read("J").toDF("n", "k")
 
 
-@_register("select distinct c_custkey as c from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 10 <> 7)")
+def _label_deltas(t: Tables):
+    """Labels as first known (not toxic), those that come later, and those that are withdrawn."""
+    labels = t("labels", "doc_id", "quality", "toxic")
+    return labels.filter("toxic = 0"), labels.filter("toxic = 1"), labels.filter("toxic = 0 and quality = 0")
+
+
+@_register("select doc_id as d from documents where doc_id not in (select doc_id from labels where toxic = 1 or quality = 1)")
 def incr_negation(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    old, more, less = _order_deltas(t)
-    rules = parse("Buys(c) :- Orders(k, c)\nIdle(c) :- Customer(c), not Buys(c)")
-    m = incremental.Maintained(rules, {"Orders": old, "Customer": t("customer", "c_custkey")}, ["Idle"])
-    m.advance({"Orders": incremental.delta(more, less)})
-    return m.read("Idle").toDF("c")
+    old, more, less = _label_deltas(t)
+    rules = parse("Labelled(d) :- Label(d, q, x)\nUnlabelled(d) :- Document(d), not Labelled(d)")
+    m = incremental.Maintained(rules, {"Label": old, "Document": t("documents", "doc_id")}, ["Unlabelled"])
+    m.advance({"Label": incremental.delta(more, less)})
+    return m.read("Unlabelled").toDF("d")
 
 
-@_register(_CLOSURE.format(e="select p_partkey as a, p_partkey // 2 as b from part where p_partkey between 2 and 300 and p_partkey % 11 <> 5") + "select a as child, b as ancestor from r")
+@_register(_CLOSURE.format(e=_TREE_SQL.replace("p_partkey > 1", "p_partkey > 1 and p_size <> 5")) + "select a as child, b as ancestor from r")
 def incr_recursive_delete(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    tree = _tree(t).filter("c <= 300")
+    tree = _tree(t)
     rules = parse("Up(c, a) :- Parent(c, a)\nUp(c, a) :- Parent(c, p), Up(p, a)")
     m = incremental.Maintained(rules, {"Parent": tree}, ["Up"])
-    m.advance({"Parent": incremental.delta(None, tree.filter("c % 11 = 5"))})
+    m.advance({"Parent": incremental.delta(None, tree.join(t("part").filter("p_size = 5").select(F.col("p_partkey").alias("c")), "c"))})
     return m.read("Up").toDF("child", "ancestor")
 
 
-@_register(
-    """with old as (select distinct o_custkey as c from orders where o_orderkey % 10 <> 3), new as (select distinct o_custkey as c from orders where o_orderkey % 10 <> 7)
-    select c, 1::bigint as w from new where c not in (select c from old) union all select c, -1 from old where c not in (select c from new)"""
-)
+@_register("select doc_id as d, 1::bigint as w from labels where toxic = 1 union all select doc_id, -1 from labels where toxic = 0 and quality = 0")
 def zero_crossings(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    old, more, less = _order_deltas(t)
-    m = incremental.Maintained(parse("Buys(c) :- Orders(k, c)"), {"Orders": old}, ["Buys"])
-    return m.advance({"Orders": incremental.delta(more, less)})["Buys"].toDF("c", "w")
+    old, more, less = _label_deltas(t)
+    m = incremental.Maintained(parse("Labelled(d) :- Label(d, q, x)"), {"Label": old}, ["Labelled"])
+    return m.advance({"Label": incremental.delta(more, less)})["Labelled"].toDF("d", "w")
 
 
 # computed relations
