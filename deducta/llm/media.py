@@ -26,7 +26,7 @@ from .common import arrow_schema, key_schema, table, text_or_empty
 BLOCK, UNIT = 1152, 192
 RATE = 8000
 #: Samples that are coded at once in a task.
-BATCH_SAMPLES = 2_000_000
+BATCH_SAMPLES = 4_000_000
 LPC_ORDER, LPC_PRECISION = 4, 10
 
 
@@ -104,7 +104,7 @@ def _rice(residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _lpc(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Quantised predictor coefficients and shifts of each row, by Levinson-Durbin over all rows at once."""
     f = x.astype(np.float64)
-    r = [(f[:, : f.shape[1] - lag] * f[:, lag:]).sum(axis=1) for lag in range(LPC_ORDER + 1)]
+    r = [np.einsum("ij,ij->i", f[:, : f.shape[1] - lag], f[:, lag:]) for lag in range(LPC_ORDER + 1)]  # sums of whole numbers: exact in any order
     a, error = np.zeros((LPC_ORDER, len(x))), r[0] + 1e-9
     for i in range(LPC_ORDER):
         k = (r[i + 1] - sum((a[j] * r[i - j] for j in range(i)), np.zeros(len(x)))) / error
@@ -116,7 +116,7 @@ def _lpc(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     top = np.maximum(np.abs(a).max(axis=0), 1e-6)
     shift = np.clip(LPC_PRECISION - 2 - np.floor(np.log2(top)).astype(np.int64), 0, 15)
     most = (1 << (LPC_PRECISION - 1)) - 1
-    return np.clip(np.rint(a * 2.0**shift), -most - 1, most).astype(np.int64), shift
+    return np.clip(np.rint(a * 2.0**shift), -most - 1, most).astype(np.int32), shift.astype(np.int32)
 
 
 def encode(payloads: list[bytes]) -> list[bytes]:
@@ -138,26 +138,32 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     for n in np.unique(size):
         rows = np.flatnonzero(size == n)
         x = source[first[rows][:, None] + np.arange(n)].astype(np.int32) - 128
-        options = [8 + np.full(len(rows), 8 * n), np.where((x == x[:, :1]).all(axis=1), 16, 1 << 40)]
-        made = [None, None]
-        residual = x
-        for order in range(3):
-            if order:
-                residual = np.diff(residual, axis=1)
-            z, k, cost = _rice(residual)
-            options.append(8 + 8 * order + 10 + cost)
-            made.append((z, k, order, None, None))
+        # the fixed predictor with the least residual, and a linear one; the cheaper of both, plain samples and silence
+        residuals = [x, np.diff(x, axis=1)]
+        residuals.append(np.diff(residuals[1], axis=1))
+        order = np.argmin([np.abs(r).sum(axis=1) + 4 * o for o, r in enumerate(residuals)], axis=0)
+        fixed, cost_fixed = {}, np.zeros(len(rows), dtype=np.int64)
+        for o in np.unique(order).tolist():
+            m = np.flatnonzero(order == o)
+            z, k, cost = _rice(residuals[o][m])
+            fixed[o], cost_fixed[m] = (m, z, k), 8 + 8 * o + 10 + cost
         coefficients, shift = _lpc(x)
-        predicted = sum((coefficients[j][:, None] * x[:, LPC_ORDER - 1 - j : n - 1 - j] for j in range(LPC_ORDER)), np.zeros((len(rows), n - LPC_ORDER), dtype=np.int64))
-        z, k, cost = _rice((x[:, LPC_ORDER:] - (predicted >> shift[:, None])).astype(np.int32))
-        options.append(8 + 8 * LPC_ORDER + 9 + LPC_PRECISION * LPC_ORDER + 10 + cost)
-        made.append((z, k, LPC_ORDER, coefficients, shift))
-        options = np.array(options)
+        predicted = coefficients[0][:, None] * x[:, LPC_ORDER - 1 : n - 1]
+        for j in range(1, LPC_ORDER):
+            predicted += coefficients[j][:, None] * x[:, LPC_ORDER - 1 - j : n - 1 - j]
+        predicted >>= shift[:, None]
+        z_lpc, k_lpc, cost = _rice(x[:, LPC_ORDER:] - predicted)
+        options = np.array([np.full(len(rows), 8 + 8 * n), np.where((x == x[:, :1]).all(axis=1), 16, 1 << 40), cost_fixed, 8 + 8 * LPC_ORDER + 9 + LPC_PRECISION * LPC_ORDER + 10 + cost])
         choice = options.argmin(axis=0)
         body_bits[rows] = options[choice, np.arange(len(rows))]
-        for c in np.unique(choice):
-            m = choice == c
-            plans.append((rows[m], x[m], int(c), None if c < 2 else (made[c][0][m], made[c][1][m], made[c][2], None if c < 5 else coefficients[:, m], None if c < 5 else shift[m])))
+        for c in np.unique(choice[choice < 2]):
+            plans.append((rows[choice == c], x[choice == c], int(c), None))
+        for o, (m, z, k) in fixed.items():
+            own = choice[m] == 2
+            if own.any():
+                plans.append((rows[m[own]], x[m[own]], 2, (z[own], k[own], o, None, None)))
+        if (m := choice == 3).any():
+            plans.append((rows[m], x[m], 3, (z_lpc[m], k_lpc[m], LPC_ORDER, coefficients[:, m], shift[m])))
     frame_bytes = head_sizes + -(-body_bits // 8) + 2
     starts = np.cumsum(frame_bytes) - frame_bytes
     bits = np.zeros(int(frame_bytes.sum()) * 8, dtype=np.uint8)
