@@ -24,11 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def buckets_for(df: DataFrame, mb: int = 16) -> int:
-    """Number of hash buckets for what is gathered from df: the shuffle partitions, or more for a large input."""
+    """Number of hash buckets for what is gathered from df: the shuffle partitions, or for a large input up to 16 times as many. The
+    size is the planner's estimate, which joins may inflate; hence the bound."""
     spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = size if size < 1 << 60 else 0
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, size // (mb << 20)))
+    return max(least, min(16 * least, size // (mb << 20) if size < 1 << 60 else 0))
 
 
 def arrow_schema(schema: T.StructType | str) -> pa.Schema:
