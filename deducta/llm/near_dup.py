@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_schema, grams, mix, staged, table, text_or_empty, word_hashes
+from .common import WORD, arrow_schema, grams, kept, mix, staged, table, text_or_empty, word_hashes
 
 SHINGLE = 5
 #: Samples and shingles of each, for texts with LEAST_LONG shingles and more, and for those with up to MOST_SHORT. Of the long
@@ -186,11 +186,11 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """tid binary (of a text's bytes), first_id (the smallest key of a document with that text) and class_id: a row for each
     distinct text."""
-    nodes = staged(sketch(docs, key, text), "sketches")
+    nodes = kept(sketch(docs, key, text))
     entries = nodes.select("tid", "n", F.explode("keys").alias("bucket")).filter("bucket is not null")
     # staged, so that the join below is a plain one and Spark can split a hot bucket's rows
     crowded = staged(entries.groupBy("bucket").agg(F.count("*").alias("texts"), F.sum("n").alias("load")).filter("texts > 1"), "crowded")
-    members = staged(entries.join(crowded, "bucket"), "members")
+    members = kept(entries.join(crowded, "bucket"))
 
     bodies = docs.select(F.unhex(F.md5(text_or_empty(f"`{text}`"))).alias("tid"), F.col(f"`{key}`").alias("first_id"), text_or_empty(f"`{text}`").alias("body"))
     wanted = members.select("tid").distinct().join(nodes.select("tid", "first_id"), "tid")
@@ -203,15 +203,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([shingles(x.as_py(), seen).tobytes() for x in batch.column("body")], type=pa.binary())], schema=arrow)
 
-    lists = staged(bodies.join(wanted, on, "left_semi").select("tid", "body").mapInArrow(listed, schema).dropDuplicates(["tid"]), "shingles")
+    lists = kept(bodies.join(wanted, on, "left_semi").select("tid", "body").mapInArrow(listed, schema).dropDuplicates(["tid"]))
 
     central = members.groupBy("tid").agg(F.sum("texts").alias("central"))
     pivots = members.join(central, "tid").groupBy("bucket").agg(F.max(F.struct("central", "tid")).getField("tid").alias("b"))
     stars = members.select("bucket", F.col("tid").alias("a")).join(pivots, "bucket").filter("a != b").select("a", "b").distinct()
-    links = staged(aligned(stars, lists), "stars")
+    links = kept(aligned(stars, lists))
 
     rest = second_round(members, lists, nodes, components(links))
-    found = components(links.union(rest))
+    found = components(links.union(kept(rest)))
     named = nodes.join(found, nodes.tid == found.node, "left").select("tid", "first_id", F.coalesce("component", "tid").alias("component"))
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
     return named.join(classes, "component").select("tid", "first_id", "class_id")
@@ -238,7 +238,7 @@ def second_round(members: DataFrame, lists: DataFrame, nodes: DataFrame, found:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], type=pa.binary()), pa.array([y for _, y in out], type=pa.binary())], schema=arrow)
 
     alone = blocked.select("bucket", "rows", F.lit(None).cast(blocked.schema["rows"].dataType).alias("rows2")).mapInArrow(run, schema)
-    large = staged(blocked.filter("blocks > 1"), "blocks")  # buckets of more than one block
+    large = kept(blocked.filter("blocks > 1"))  # buckets of more than one block
     pairs = large.select("bucket", "block", "rows").join(large.select("bucket", F.col("block").alias("block2"), F.col("rows").alias("rows2")), "bucket").filter("block < block2")
     return alone.union(pairs.select("bucket", "rows", "rows2").mapInArrow(run, schema))
 

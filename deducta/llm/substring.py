@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, arrow_schema, grams, staged, table, text_or_empty, word_hashes
+from .common import WORD, arrow_schema, grams, kept, staged, table, text_or_empty, word_hashes
 
 WINDOW, ANCHOR = 50, 25
 
@@ -117,7 +117,7 @@ def merged(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + width) for x in np.split(starts, cut)]
 
 
-def kept_words(words: list[str], starts: list[int], ends: list[int]) -> list[str]:
+def left_over(words: list[str], starts: list[int], ends: list[int]) -> list[str]:
     out, at = [], 0
     for a, b in zip(starts, ends, strict=True):
         out += words[at:a]
@@ -168,7 +168,7 @@ def repeats(docs: DataFrame, profiled: DataFrame, firsts: DataFrame, key: str =
     shared = staged(held.groupBy("h").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo < hi").select("h"), "shared-anchors")
     lists = held.join(shared, "h").groupBy("t").agg(F.collect_set("h").alias("hs"))  # no more than a text's anchors
     wanted = firsts.withColumn("t", F.conv(F.substring(F.lower(F.hex("tid")), 1, 15), 16, 10).cast("long")).join(lists, "t").select("tid", F.col("first_id").alias("id"), "hs")
-    near = staged(_keyed(docs, key, text).drop("t").filter("id is not null").join(wanted, ["tid", "id"]).dropDuplicates(["tid", "id"]), "near-repeats")
+    near = kept(_keyed(docs, key, text).drop("t").filter("id is not null").join(wanted, ["tid", "id"]).dropDuplicates(["tid", "id"]))
 
     def dense(batches):
         seen: dict = {}
@@ -183,7 +183,7 @@ def repeats(docs: DataFrame, profiled: DataFrame, firsts: DataFrame, key: str =
 
     windows_schema = f"id {id_type}, tid binary, w bigint, p int"
     windows_arrow = arrow_schema(windows_schema)
-    windows = staged(near.select("id", "tid", "body", "hs").mapInArrow(dense, windows_schema), "windows")
+    windows = kept(near.select("id", "tid", "body", "hs").mapInArrow(dense, windows_schema))
     several = staged(windows.groupBy("w").agg(F.min("id").alias("ref"), F.max("id").alias("last")).filter("ref < last").select("w", "ref"), "shared-windows")
     by_text = windows.join(several, "w").groupBy("id", "tid").agg(F.sort_array(F.collect_list(F.struct("p", "ref"))).alias("at"))  # no more than a text's words
 
@@ -200,7 +200,7 @@ def repeats(docs: DataFrame, profiled: DataFrame, firsts: DataFrame, key: str =
 
     passages_schema = f"ref {id_type}, tid binary, id {id_type}, p int, words string"
     passages_arrow = arrow_schema(passages_schema)
-    cut = staged(near.join(by_text, ["id", "tid"]).select("id", "tid", "body", "at").mapInArrow(passages, passages_schema), "passages")
+    cut = kept(near.join(by_text, ["id", "tid"]).select("id", "tid", "body", "at").mapInArrow(passages, passages_schema))
     references = staged(cut.filter("id = ref").groupBy("ref").agg(F.array_sort(F.collect_list("words")).alias("shared")), "references")  # of one document
     streamed = cut.filter("id <> ref").join(references, "ref")
 
@@ -230,11 +230,11 @@ def repeats(docs: DataFrame, profiled: DataFrame, firsts: DataFrame, key: str =
     # overlapping spans become one
     joined = F.aggregate("s", F.array().cast("array<struct<a:int,b:int>>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))))
     found = gathered.select("id", "tid", joined.alias("s")).select("id", "tid", F.col("s.a").alias("starts"), F.col("s.b").alias("ends"))
-    return staged(found, "spans"), near.select("id", "tid", "body")
+    return kept(found), near.select("id", "tid", "body")
 
 
 def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    profiled = staged(profile(docs, key, text), "profiles")
+    profiled = kept(profile(docs, key, text))
     firsts = profiled.groupBy("tid").agg(F.min("id").alias("first_id"))
     return profiled, firsts, *repeats(docs, profiled, firsts, key, text)
 
@@ -268,7 +268,7 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             out = []
             for body, a, b in zip(*(batch.column(c).to_pylist() for c in ("body", "starts", "ends")), strict=True):
-                out.append((sum(b) - sum(a), hashlib.sha256(" ".join(kept_words(WORD.findall(body), a, b)).encode("utf-8", "surrogatepass")).hexdigest()))
+                out.append((sum(b) - sum(a), hashlib.sha256(" ".join(left_over(WORD.findall(body), a, b)).encode("utf-8", "surrogatepass")).hexdigest()))
             if out:
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tid"), *(pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), list(arrow)[2:], strict=True))], schema=arrow)
 
