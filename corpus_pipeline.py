@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from deducta.llm import bpe, decontaminate, near_dup, quality, substring
 from deducta.llm.common import staged, table
-from deducta.sources.scratch import release
 
 #: Documents with a lower score for quality go: those that are likelier bad than good.
 REJECT_BELOW = 0.5
@@ -64,5 +63,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
-        release()
     return STAGES[-1][1](spark, docs, sf_dir)

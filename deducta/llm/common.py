@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..sources.scratch import kept as kept
 from ..sources.scratch import staged as staged
 
 #: A word of a text: a run of anything but ASCII white space.
