@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -64,20 +63,3 @@ def staged(df: DataFrame, name: str = "staged", by: str | None = None) -> DataFr
     out.schema  # noqa: B018  the plan is resolved, and with it where the files are
     spark.sql(f"DROP TABLE {own}")  # the name goes, the files of an external table stay
     return out
-
-
-_kept: list[DataFrame] = []
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df, computed once and held on the executors' disks in small batches. What a lost executor held is computed again from df's own
-    inputs; so it suits steps of a plan, not rounds of a loop."""
-    out = df.persist(StorageLevel.DISK_ONLY)
-    _kept.append(out)
-    return out
-
-
-def release() -> None:
-    """Lets go of what kept() holds; results that were not written yet would compute it again."""
-    while _kept:
-        _kept.pop().unpersist()
