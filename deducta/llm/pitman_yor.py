@@ -1,13 +1,14 @@
 """LM scoring by a hierarchical Pitman-Yor model of words.
 
-Restaurants: one for each context, which is the end of the preceding word, dealt to 16 below each of 256 parents by
-hash; one for each parent, by the last byte; one root; a uniform base over the V words seen and one for all others.
-Short words are their own ends, so frequent words have contexts of their own; the number of contexts doesn't grow
-with the corpus, which leaves the restaurants' totals small enough to be sent to every task. Everything a word's
-seating needs besides those totals lies with the word.
+Restaurants: one for each context, which is the whole preceding word (known by a 63-bit number: its last byte and 55 bits
+of its hash); one for each last byte of contexts, their shared parent; one root, of words without context; a uniform base
+over the V words seen and one for all others. Contexts grow with the vocabulary: what a word's seating needs besides the
+word's own counts are the totals of its contexts, which lie in tables dealt by context.
 
 * Blocks of documents number their distinct words, and send each with its contexts and training counts to the bucket
   of the word. A bucket merges them: a word in every document is one entry per block, so no key is hot.
+* After a round each bucket sends what it has of every context to the bucket of the context, which adds up and answers
+  with the totals. Only the totals of the parents and the root are sent to all.
 * Seating is sampled by blocked Gibbs: all customers of a dish in a restaurant are seated anew, one after another,
   given the tables elsewhere; past the first 32, in steps of a quarter of those seated (a binomial draw each).
   A table is a customer of the parent. Totals of restaurants are those of the round before.
@@ -21,7 +22,6 @@ learn from every probability is 1; repeated rows are scored each, and learned fr
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +32,7 @@ from pyspark.sql import types as T
 from .common import Codes, arrow_schema, buckets_for, key_schema, pack, pack_all, pack_bytes, staged, table, text_or_empty, unpack, unpack_all, unpack_bytes
 
 BLOCK_CHARS = 16_000_000
-PARENTS, PER_PARENT = 256, 16
-CONTEXTS = PARENTS * PER_PARENT
+PARENTS, PER_PARENT = 256, 1 << 55
 ROUNDS, BURN_IN, SAMPLES = 2, 2, 3
 STRENGTH = (1.0, 1.0, 1.0)  # of the root, parents and contexts
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -43,7 +42,9 @@ UNIT = 1e6
 
 def context_of(word: bytes) -> int:
     """The context that a word is for the next; the empty word is a text's start."""
-    return (word[-1] if word else 0) * PER_PARENT + zlib.crc32(word[-3:]) % PER_PARENT
+    import xxhash
+
+    return (word[-1] if word else 0) * PER_PARENT + xxhash.xxh3_64_intdigest(word) % PER_PARENT
 
 
 def reseat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -65,19 +66,37 @@ def reseat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.ran
     return tables
 
 
+class Column:
+    """Values of restaurants that are looked up by their numbers; others have 0."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        self.ids, self.values = ids, values
+
+    def __getitem__(self, at):
+        if not len(self.ids):
+            return np.zeros(np.shape(at))
+        i = np.minimum(np.searchsorted(self.ids, at), len(self.ids) - 1)
+        return np.where(self.ids[i] == at, self.values[i], 0.0)
+
+
 class Totals:
-    """Customers and tables of all restaurants."""
+    """Customers and tables of all restaurants, but of contexts only a seating's own, in its order."""
 
-    def __init__(self, contexts=None, parents=None, root=(0.0, 0.0)):
-        zero = lambda n: np.zeros((2, n))
-        self.contexts, self.parents, self.root = zero(CONTEXTS) if contexts is None else contexts, zero(PARENTS) if parents is None else parents, root
+    def __init__(self, contexts=(None, None), parents=None, root=(0.0, 0.0)):
+        self.contexts, self.parents, self.root = contexts, np.zeros((2, PARENTS)) if parents is None else parents, root
+
+    def with_contexts(self, ids: np.ndarray, customers: np.ndarray, tables: np.ndarray) -> Totals:
+        return Totals((Column(ids, customers), Column(ids, tables)), self.parents, self.root)
 
 
 class Seating:
-    """The words of a bucket: counts by word and context, and tables at each level."""
+    """The words of a bucket: counts by word and context, sorted, and tables at each level. ids: the contexts, sorted, with those that
+    are only asked for."""
 
-    def __init__(self, words: int, word: np.ndarray, context: np.ndarray, count: np.ndarray):
-        self.n, self.word, self.context, self.count = words, word, context, count
+    def __init__(self, words: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, ids: np.ndarray | None = None):
+        self.n, self.word, self.count = words, word, count
+        self.ids = np.unique(context) if ids is None else ids
+        self.at = np.searchsorted(self.ids, context)
         pairs, self.up = np.unique(word * PARENTS + context // PER_PARENT, return_inverse=True)
         self.word1, self.parent = pairs // PARENTS, pairs % PARENTS
         self.tables = np.ones(len(word), dtype=np.int64)
@@ -86,6 +105,10 @@ class Seating:
         self.lift()
         self.tables0 = np.minimum(self.count0, 1)
 
+    def put(self, tables: np.ndarray, tables1: np.ndarray, tables0: np.ndarray) -> None:
+        self.tables, self.tables1, self.tables0 = tables, tables1, tables0
+        self.lift()
+
     def lift(self) -> None:
         """Tables are the parents' customers."""
         self.count1 = np.bincount(self.up, weights=self.tables, minlength=len(self.word1)).astype(np.int64)
@@ -94,7 +117,9 @@ class Seating:
 
     def totals(self) -> Totals:
         count = lambda at, x, n: np.bincount(at, weights=x, minlength=n)
-        return Totals(np.stack([count(self.context, self.count, CONTEXTS), count(self.context, self.tables, CONTEXTS)]), np.stack([count(self.parent, self.count1, PARENTS), count(self.parent, self.tables1, PARENTS)]), (float(self.count0.sum()), float(self.tables0.sum())))
+        parents = np.stack([count(self.parent, self.count1, PARENTS), count(self.parent, self.tables1, PARENTS)])
+        contexts = (Column(self.ids, count(self.at, x, len(self.ids))) for x in (self.count, self.tables))
+        return Totals(tuple(contexts), parents, (float(self.count0.sum()), float(self.tables0.sum())))
 
     def p0(self, t: Totals, d, base: float) -> np.ndarray:
         return (self.count0 - d[0] * self.tables0 + (STRENGTH[0] + d[0] * t.root[1]) * base) / (STRENGTH[0] + t.root[0])
@@ -106,28 +131,38 @@ class Seating:
     def sweep(self, t: Totals, d, base: float, rng: np.random.Generator) -> None:
         p0 = self.p0(t, d, base)
         p1 = self.p1(t, d, p0)
-        self.tables = reseat(self.count, (STRENGTH[2] + d[2] * t.contexts[1][self.context]) * p1[self.up], d[2], rng)
+        self.tables = reseat(self.count, (STRENGTH[2] + d[2] * t.contexts[1].values[self.at]) * p1[self.up], d[2], rng)
         self.lift()
         self.tables1 = reseat(self.count1, (STRENGTH[1] + d[1] * t.parents[1][self.parent]) * p0[self.word1], d[1], rng)
         self.lift()
         self.tables0 = reseat(self.count0, np.full(self.n, (STRENGTH[0] + d[0] * t.root[1]) * base), d[0], rng)
 
-    def predict(self, t: Totals, d, base: float, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Probabilities of words in contexts, seen there or not."""
-        p0 = self.p0(t, d, base)
+    def find(self, word: np.ndarray, context: np.ndarray):
+        """Where words in contexts are, seen there or not: the words, parents, contexts, and their entries and whether there are any."""
+
+        def entry(pairs: np.ndarray, wanted: np.ndarray):
+            if not len(pairs):
+                return np.zeros(len(wanted), dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+            at = np.minimum(np.searchsorted(pairs, wanted), len(pairs) - 1)
+            return at, pairs[at] == wanted
+
         parent = context // PER_PARENT
-        mine = np.zeros(len(word))
-        if len(self.word1):
-            pairs = self.word1 * PARENTS + self.parent
-            at = np.minimum(np.searchsorted(pairs, word * PARENTS + parent), len(pairs) - 1)
-            mine = np.where(pairs[at] == word * PARENTS + parent, (self.count1 - d[1] * self.tables1)[at], 0)
-        p1 = (mine + (STRENGTH[1] + d[1] * t.parents[1][parent]) * p0[word]) / (STRENGTH[1] + t.parents[0][parent])
-        mine = np.zeros(len(word))
-        if len(self.word):
-            pairs = self.word * CONTEXTS + self.context
-            at = np.minimum(np.searchsorted(pairs, word * CONTEXTS + context), len(pairs) - 1)
-            mine = np.where(pairs[at] == word * CONTEXTS + context, (self.count - d[2] * self.tables)[at], 0)
-        return (mine + (STRENGTH[2] + d[2] * t.contexts[1][context]) * p1) / (STRENGTH[2] + t.contexts[0][context])
+        at, known = entry(self.ids, context)
+        upper = entry(self.word1 * PARENTS + self.parent, word * PARENTS + parent)
+        own = entry(self.word * (len(self.ids) + 1) + self.at, word * (len(self.ids) + 1) + np.where(known, at, len(self.ids)))
+        return word, parent, (at, known), upper, own
+
+    def predict_at(self, t: Totals, d, base: float, places) -> np.ndarray:
+        """Probabilities at places that were found."""
+        word, parent, context, upper, own = places
+        take = lambda x, place: np.where(place[1], x[place[0]], 0) if len(x) else np.zeros(len(word))
+        p0 = self.p0(t, d, base)
+        p1 = (take(self.count1 - d[1] * self.tables1, upper) + (STRENGTH[1] + d[1] * t.parents[1][parent]) * p0[word]) / (STRENGTH[1] + t.parents[0][parent])
+        customers, tables = (take(x.values, context) for x in t.contexts)
+        return (take(self.count - d[2] * self.tables, own) + (STRENGTH[2] + d[2] * tables) * p1) / (STRENGTH[2] + customers)
+
+    def predict(self, t: Totals, d, base: float, word: np.ndarray, context: np.ndarray) -> np.ndarray:
+        return self.predict_at(t, d, base, self.find(word, context))
 
 
 def chain(seating: Seating, bucket: int, round_: int, totals: Totals, discounts, base: float):
@@ -140,7 +175,7 @@ def chain(seating: Seating, bucket: int, round_: int, totals: Totals, discounts,
 
 
 def _split(docs: DataFrame, keys: list[str], text: str, train: str, n_buckets: int, block_chars: int) -> DataFrame:
-    """Blocks: a row for each document (its words' codes), one for each block (the codes' contexts), and one for each bucket of its words."""
+    """Blocks: a row for each document (its words' codes) and one for each bucket of its words."""
     kept = key_schema(docs, keys)
     schema = T.StructType([*T._parse_datatype_string("block long, bucket int").fields, *kept, *T._parse_datatype_string("train boolean, data binary, words binary, slots binary").fields])
     arrow = arrow_schema(schema)
@@ -163,22 +198,22 @@ def _split(docs: DataFrame, keys: list[str], text: str, train: str, n_buckets: i
             words = [words[i] for i in order.tolist()]
             tokens = rank[tokens]
             contexts = np.array([context_of(w) for w in words], dtype=np.int64)
-            pairs, inverse = np.unique(_pairs(tokens, sizes, contexts), return_inverse=True)
+            pairs, inverse = np.unique(_pairs(tokens, len(words)), return_inverse=True)
             counts = np.bincount(inverse, weights=np.repeat([t for _, t, _ in rows], sizes), minlength=len(pairs)).astype(np.int64)
-            per_word = np.bincount(pairs // CONTEXTS, minlength=len(words))
+            per_word = np.bincount(pairs // len(words), minlength=len(words))
             firsts = np.cumsum(per_word) - per_word
             of = np.fromiter((xxhash.xxh32_intdigest(w) % n_buckets for w in words), dtype=np.int64, count=len(words))
             by = np.argsort(of, kind="stable")
             cuts = np.searchsorted(of[by], np.arange(n_buckets + 1))
             ends = np.cumsum(sizes)
             out = [(block, None, *key, t, pack(tokens[e - n : e]), None, None) for (key, t, _), e, n in zip(rows, ends.tolist(), sizes.tolist(), strict=True)]
-            out.append((block, -1, *[None] * len(keys), None, pack(contexts), None, None))
             for b in np.unique(of):
                 slots = by[cuts[b] : cuts[b + 1]]
                 own = [words[i] for i in slots]
                 n = per_word[slots]
                 at = np.repeat(firsts[slots] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                out.append((block, int(b), *[None] * len(keys), None, pack_all(np.array([len(w) for w in own]), n, pairs[at] % CONTEXTS, counts[at]), pack_bytes(b"".join(own)), pack(np.diff(slots, prepend=0))))
+                ids, of_ids = np.unique(contexts[pairs[at] % len(words)], return_inverse=True)
+                out.append((block, int(b), *[None] * len(keys), None, pack_all(np.array([len(w) for w in own]), n, of_ids, counts[at], np.diff(ids, prepend=0)), pack_bytes(b"".join(own)), pack(np.diff(slots, prepend=0))))
             for i in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out[i : i + 4096], strict=True), arrow, strict=True)], schema=arrow)
 
@@ -199,88 +234,122 @@ def _split(docs: DataFrame, keys: list[str], text: str, train: str, n_buckets: i
     return source.mapInArrow(run, schema)
 
 
-def _pairs(tokens: np.ndarray, sizes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """Each token with its context; the end of one text is the start of the next."""
+def _pairs(tokens: np.ndarray, words: int) -> np.ndarray:
+    """Each token with the one before it; the end of one text is the start of the next."""
     before = np.empty(len(tokens), dtype=np.int64)
-    before[1:] = contexts[tokens[:-1]]
-    before[np.cumsum(sizes) - sizes] = context_of(b"")
-    return tokens * CONTEXTS + before
+    before[1:] = tokens[:-1]
+    before[0] = tokens[-1]
+    return tokens * words + before
 
 
-def _merge(group: pa.Table) -> tuple[bytes, bytes, list]:
+def _merge(group: pa.Table) -> tuple[bytes, list]:
     """A bucket's words and counts, and what each block asks for."""
     order = np.argsort(group.column("block").to_numpy(), kind="stable")
     rows = list(zip(*(group.column(c).to_pylist() for c in ("block", "data", "words", "slots")), strict=True))
-    index, asked, keys, counts = Codes(), [], [], []
+    index, found = Codes(), []
     for i in order.tolist():
         block, data, words, slots = rows[i]
-        sizes, n, context, count = (x.astype(np.int64) for x in unpack_all(data))
+        sizes, n, context, count, ids = (x.astype(np.int64) for x in unpack_all(data))
         flat, at, mine = unpack_bytes(words), 0, np.empty(len(sizes), dtype=np.int64)
         for k, size in enumerate(sizes.tolist()):
             mine[k] = index[flat[at : at + size]]
             at += size
-        keys.append(np.repeat(mine, n) * CONTEXTS + context)
-        counts.append(count)
-        asked.append((block, pack_all(mine, n, context), slots))
-    every = np.concatenate(keys)
-    pairs, inverse = np.unique(every, return_inverse=True)
+        found.append((block, mine, n, context, count, np.cumsum(ids), slots))
+    ids = np.unique(np.concatenate([f[5] for f in found]))
+    asked, keys, counts = [], [], []
+    for block, mine, n, context, count, own, slots in found:
+        at = np.searchsorted(ids, own)[context]
+        keys.append((np.repeat(mine, n) * len(ids) + at)[count > 0])
+        counts.append(count[count > 0])
+        asked.append((block, pack_all(mine, n, at), slots))
+    pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
-    pairs, total = pairs[total > 0], total[total > 0]
-    return pack_all(np.array([len(index)]), np.diff(pairs // CONTEXTS, prepend=0), pairs % CONTEXTS, total), asked
+    return pack_all(np.array([len(index)]), np.diff(pairs // len(ids), prepend=0), pairs % len(ids), total, np.diff(ids, prepend=0)), asked
 
 
 def _seating(model: bytes) -> Seating:
-    n, word, context, count = (x.astype(np.int64) for x in unpack_all(model))
-    return Seating(int(n[0]), np.cumsum(word), context, count)
-
-
-TALLY = "kind string, sample int, at int, customers double, tables double"
-
-
-def _tally(model: DataFrame, run_one) -> list:
-    """Sums of what run_one(bucket, seating) yields: (kind, sample, at, customers, tables) arrays. Its rows are as many as the
-    restaurants, whatever the corpus; each task adds its buckets up first."""
-    arrow = arrow_schema(TALLY)
-
-    def run(batches):
-        sums: dict = {}
-        for batch in batches:
-            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("model").to_pylist(), strict=True):
-                for kind, i, customers, tables in run_one(bucket, _seating(data)):
-                    old = sums.setdefault((kind, i), np.zeros((2, len(customers))))
-                    old[0] += customers
-                    old[1] += tables
-        rows = [(kind, i, int(k), float(x[0][k]), float(x[1][k])) for (kind, i), x in sums.items() for k in np.flatnonzero(x.any(axis=0))]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
-
-    return model.select("bucket", "model").mapInArrow(run, TALLY).groupBy("kind", "sample", "at").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).collect()
-
-
-def _gathered(rows: list) -> dict[int, Totals]:
-    out: dict[int, Totals] = {}
+    n, word, context, count, ids = (x.astype(np.int64) for x in unpack_all(model))
+    ids = np.cumsum(ids)
+    return Seating(int(n[0]), np.cumsum(word), ids[context], count, ids)
+
+
+#: What a bucket gives out in a round: sums that all get (parents and root, at a place), parts of contexts' totals for the bucket that
+#: adds these up (target), and its seatings.
+ROUND = "bucket int, kind string, sample int, at int, customers double, tables double, target int, data binary"
+_ROUND = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("sample", pa.int32()), ("at", pa.int32()), ("customers", pa.float64()), ("tables", pa.float64()), ("target", pa.int32()), ("data", pa.binary())])
+
+
+def _dealt(ids: np.ndarray, n: int):
+    """Which contexts go to each of n buckets."""
+    to = ids % PER_PARENT % n
+    by = np.argsort(to, kind="stable")
+    cuts = np.searchsorted(to[by], np.arange(n + 1)).tolist()
+    for b in range(n):
+        if cuts[b] < cuts[b + 1]:
+            yield b, by[cuts[b] : cuts[b + 1]]
+
+
+def _given(bucket: int, seating: Seating, samples: list[Totals], n_buckets: int, more=(), data: bytes | None = None) -> pa.Table:
+    """Rows of ROUND of a bucket's own totals, one for each sample."""
+    sums = [x for i, t in enumerate(samples) for x in (("parents", i, *t.parents), ("root", i, [t.root[0]], [t.root[1]]))]
+    rows = []
+    for kind, i, customers, tables in [*sums, *more]:
+        customers, tables = np.asarray(customers, dtype=float), np.asarray(tables, dtype=float)
+        rows += [(bucket, kind, i, int(k), float(customers[k]), float(tables[k]), None, None) for k in np.flatnonzero(customers + tables)]
+    columns = [samples[0].contexts[0].values.astype(np.int64), *(t.contexts[1].values.astype(np.int64) for t in samples)]
+    for b, own in _dealt(seating.ids, n_buckets):
+        rows.append((bucket, "contexts", None, None, None, None, b, pack_all(np.diff(seating.ids[own], prepend=0), *(c[own] for c in columns))))
+    if data is not None:
+        rows.append((bucket, "seatings", None, None, None, None, None, data))
+    return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ROUND, strict=True)], schema=_ROUND)
+
+
+REPLY = "bucket int, kind string, target int, data binary"
+
+
+def _replies(given: DataFrame) -> DataFrame:
+    """The totals of contexts over all buckets, for each bucket in the order of what it gave."""
+    arrow = arrow_schema(REPLY)
+
+    def add_up(rows: pa.Table) -> pa.Table:
+        parts = [[x.astype(np.int64) for x in unpack_all(d)] for d in rows.column("data").to_pylist()]
+        ids, inverse = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
+        sums = [np.bincount(inverse, weights=np.concatenate([p[k] for p in parts]), minlength=len(ids)).astype(np.int64)[inverse] for k in range(1, len(parts[0]))]
+        ends = np.cumsum([len(p[0]) for p in parts]).tolist()
+        data = [pack_all(*(x[e - len(p[0]) : e] for x in sums)) for p, e in zip(parts, ends, strict=True)]
+        return pa.Table.from_arrays([rows.column("bucket"), rows.column("kind"), rows.column("target"), pa.chunked_array([pa.array(data, type=pa.binary())])], schema=arrow)
+
+    return given.filter("kind = 'contexts'").select("bucket", "kind", "target", "data").groupBy("target").applyInArrow(add_up, REPLY)
+
+
+def _answered(seating: Seating, replies: pa.Table, n_buckets: int, shared: list[Totals]) -> list[Totals]:
+    """The totals of each sample, with those of the seating's contexts."""
+    places = dict(_dealt(seating.ids, n_buckets))
+    columns = np.zeros((len(shared) + 1, len(seating.ids)))
+    for kind, target, data in zip(*(replies.column(c).to_pylist() for c in ("kind", "target", "data")), strict=True):
+        if kind == "contexts":
+            columns[:, places[target]] = unpack_all(data)
+    return [t.with_contexts(seating.ids, columns[0], tables) for t, tables in zip(shared, columns[1:], strict=True)]
+
+
+def _gathered(given: DataFrame) -> tuple[list, list[Totals]]:
+    """Sums that all get: the rows, as many as parents and samples, and as totals of each sample."""
+    rows = given.filter("at is not null").groupBy("kind", "sample", "at").agg(F.sum("customers").alias("customers"), F.sum("tables").alias("tables")).collect()
+    out = [Totals() for _ in range(1 + max((r["sample"] for r in rows), default=0))]
     for r in rows:
-        t = out.setdefault(r["sample"], Totals())
         if r["kind"] == "root":
-            t.root = (r["customers"], r["tables"])
-        elif r["kind"] in ("contexts", "parents"):
-            getattr(t, r["kind"])[:, r["at"]] = r["customers"], r["tables"]
-    return out
-
+            out[r["sample"]].root = (r["customers"], r["tables"])
+        elif r["kind"] == "parents":
+            out[r["sample"]].parents[:, r["at"]] = r["customers"], r["tables"]
+    return rows, out
 
-def _sums(i: int, t: Totals):
-    yield "contexts", i, *t.contexts
-    yield "parents", i, *t.parents
-    yield "root", i, np.array([t.root[0]]), np.array([t.root[1]])
 
-
-def _first(bucket: int, s: Seating):
-    yield from _sums(0, s.totals())
+def _first(bucket: int, s: Seating, n_buckets: int) -> pa.Table:
     known = np.zeros(s.n, dtype=np.int64)
     np.add.at(known, s.word, s.count)
-    yield "words", 0, np.array([known.sum()], dtype=float), np.array([(known > 0).sum()], dtype=float)
-    for level, c in enumerate((s.count0, s.count1, s.count)):
-        yield "ones", 0, *np.array([[(c == 1).sum() if k == level else 0, (c == 2).sum() if k == level else 0] for k in range(3)], dtype=float).T
+    more = [("words", 0, [known.sum()], [(known > 0).sum()])]
+    more.append(("ones", 0, *([(c == x).sum() for c in (s.count0, s.count1, s.count)] for x in (1, 2))))
+    return _given(bucket, s, [s.totals()], n_buckets, more)
 
 
 def score(docs: DataFrame, train: str, keys: list[str], text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -295,57 +364,81 @@ def score(docs: DataFrame, train: str, keys: list[str], text: str = "text", bloc
         model, asked = _merge(group)
         return pa.Table.from_arrays([pa.array([key[0].as_py()], type=pa.int32()), pa.array([model], type=pa.binary()), pa.array([[dict(zip(("block", "data", "slots"), a, strict=True)) for a in asked]], type=state_arrow.field("asked").type)], schema=state_arrow)
 
-    model = staged(parts.filter("bucket >= 0").select("bucket", "block", "data", "words", "slots").groupBy("bucket").applyInArrow(merge, state_schema), "lm-model")
+    merged = parts.filter("bucket >= 0").select("bucket", "block", "data", "words", "slots").groupBy("bucket").applyInArrow(merge, state_schema)
+    model = staged(merged, "lm-model", by="bucket")
+    models = model.select("bucket", "model")
+
+    def first(batches):
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("model").to_pylist(), strict=True):
+                yield from _first(bucket, _seating(data), n_buckets).to_batches()
 
-    rows = _tally(model, _first)
-    totals = _gathered(rows).get(0, Totals())
+    given = staged(models.mapInArrow(first, ROUND), "lm-round")
+    rows, shared = _gathered(given)
     tokens, words = next(((r["customers"], r["tables"]) for r in rows if r["kind"] == "words"), (0.0, 0.0))
     once = {r["at"]: (r["customers"], r["tables"]) for r in rows if r["kind"] == "ones"}
     discounts = [float(np.clip(a / max(a + 2 * b, 1), 0.05, 0.95)) for a, b in (once.get(i, (0.0, 0.0)) for i in range(3))]
     base = 1 / (words + 1)
-    for round_ in range(1, ROUNDS):
-        last = lambda bucket, s, t=totals, r=round_: [x for i, own in enumerate(chain(s, bucket, r, t, discounts, base)) if i == SAMPLES - 1 for x in _sums(0, own.totals())]
-        totals = _gathered(_tally(model, last)).get(0, totals)
-    each = _gathered(_tally(model, lambda bucket, s: (x for i, own in enumerate(chain(s, bucket, ROUNDS, totals, discounts, base)) for x in _sums(i, own.totals()))))
+
+    def sweeps(round_: int, shared: list[Totals]):
+        def sweep(models: pa.Table, replies: pa.Table) -> pa.Table:
+            out = []
+            for bucket, data in zip(models.column("bucket").to_pylist(), models.column("model").to_pylist(), strict=True):
+                seating = _seating(data)
+                (totals,) = _answered(seating, replies, n_buckets, shared)
+                each, kept = [], []
+                for own in chain(seating, bucket, round_, totals, discounts, base):
+                    each.append(own.totals())
+                    kept += [own.tables, own.tables1, own.tables0]
+                last = round_ == ROUNDS
+                out.append(_given(bucket, seating, each if last else each[-1:], n_buckets, data=pack_all(*kept) if last else None))
+            return pa.concat_tables(out) if out else _ROUND.empty_table()
+
+        return sweep
+
+    for round_ in range(1, ROUNDS + 1):
+        given = staged(models.groupBy("bucket").cogroup(_replies(given).groupBy("bucket")).applyInArrow(sweeps(round_, shared), ROUND), "lm-round")
+        _, shared = _gathered(given)
+    if len(shared) < SAMPLES:
+        shared = [*shared, *[Totals()] * (SAMPLES - len(shared))]
 
     answer_schema = "block bigint, data binary, slots binary"
     answer_arrow = arrow_schema(answer_schema)
 
-    def answer(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                bucket, seating = batch.column("bucket")[r].as_py(), _seating(batch.column("model")[r].as_py())
-                known = np.zeros(seating.n, dtype=np.int64)
-                np.add.at(known, seating.word, seating.count)
-                asked = [(a["block"], *(x.astype(np.int64) for x in unpack_all(a["data"])), a["slots"]) for a in batch.column("asked")[r].as_py()]
-                sums = [np.zeros(len(context)) for _, _, _, context, _ in asked]
-                samples = 0
-                for i, own in enumerate(chain(seating, bucket, ROUNDS, totals, discounts, base)):
-                    samples += 1
-                    for total, (_, word, n, context, _) in zip(sums, asked, strict=True):
-                        total += own.predict(each.get(i, totals), discounts, base, np.repeat(word, n), context)
-                out = [(block, pack_all(known[word], n, np.rint(np.clip(-np.log10(total / samples), 0, 300) * UNIT).astype(np.int64)), slots) for total, (block, word, n, context, slots) in zip(sums, asked, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), answer_arrow, strict=True)], schema=answer_arrow)
-
-    answers = model.mapInArrow(answer, answer_schema)
+    def answer(models: pa.Table, replies: pa.Table) -> pa.Table:
+        out = []
+        for r in range(models.num_rows):
+            seating = _seating(models.column("model")[r].as_py())
+            each = _answered(seating, replies, n_buckets, shared)
+            kept = next(d for k, d in zip(replies.column("kind").to_pylist(), replies.column("data").to_pylist(), strict=True) if k == "seatings")
+            kept = [x.astype(np.int64) for x in unpack_all(kept)]
+            known = np.zeros(seating.n, dtype=np.int64)
+            np.add.at(known, seating.word, seating.count)
+            for a in models.column("asked")[r].as_py():
+                word, n, context = (x.astype(np.int64) for x in unpack_all(a["data"]))
+                places, total = seating.find(np.repeat(word, n), seating.ids[context]), 0
+                for i, t in enumerate(each):
+                    seating.put(*kept[3 * i : 3 * i + 3])
+                    total = total + seating.predict_at(t, discounts, base, places)
+                out.append((a["block"], pack_all(known[word], n, np.rint(np.clip(-np.log10(total / len(each)), 0, 300) * UNIT).astype(np.int64)), a["slots"]))
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), answer_arrow, strict=True)], schema=answer_arrow) if out else answer_arrow.empty_table()
+
+    back = _replies(given).unionByName(given.filter("kind = 'seatings'").select("bucket", "kind", "target", "data"))
+    answers = model.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(answer, answer_schema)
     kept = key_schema(docs, keys)
     out_schema = T.StructType([*kept, *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])
     out_arrow = arrow_schema(out_schema)
     n_train, n_words = int(tokens), int(words)
 
     def add_up(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        contexts, own = None, []
-        for i, (bucket, data) in enumerate(zip(rows.column("bucket").to_pylist(), rows.column("data").to_pylist(), strict=True)):
-            if bucket == -1:
-                contexts = unpack(data).astype(np.int64)
-            else:
-                own.append((i, unpack(data).astype(np.int64)))
-        sizes = np.array([len(x) for _, x in own], dtype=np.int64)
-        tokens = np.concatenate([x for _, x in own])
-        pairs, inverse = np.unique(_pairs(tokens, sizes, contexts), return_inverse=True)
-        per_word = np.bincount(pairs // CONTEXTS, minlength=len(contexts))
+        own = [unpack(data).astype(np.int64) for data in rows.column("data").to_pylist()]
+        sizes = np.array([len(x) for x in own], dtype=np.int64)
+        tokens = np.concatenate(own)
+        words = int(tokens.max()) + 1
+        pairs, inverse = np.unique(_pairs(tokens, words), return_inverse=True)
+        per_word = np.bincount(pairs // words, minlength=words)
         firsts = np.cumsum(per_word) - per_word
-        count, value = np.zeros(len(contexts), dtype=np.int64), np.zeros(len(pairs), dtype=np.int64)
+        count, value = np.zeros(words, dtype=np.int64), np.zeros(len(pairs), dtype=np.int64)
         for data, slots in zip(answers.column("data").to_pylist(), answers.column("slots").to_pylist(), strict=True):
             known, n, scores = unpack_all(data)
             at, n = np.cumsum(unpack(slots).astype(np.int64)), n.astype(np.int64)
@@ -354,10 +447,9 @@ def score(docs: DataFrame, train: str, keys: list[str], text: str = "text", bloc
         starts = np.cumsum(sizes) - sizes
         base_of = np.log10((count + 0.5) / (n_train + 0.5 * (n_words + 1)))
         sums = [np.add.reduceat(x, starts) for x in ((count[tokens] > 0).astype(np.int64), base_of[tokens], value[inverse])]
-        taken = pa.array([i for i, _ in own])
-        return pa.Table.from_arrays([*(rows.column(k.name).take(taken).combine_chunks() for k in kept), pa.array(sizes), pa.array(sums[0]), pa.array(np.full(len(own), n_train, dtype=np.int64)), pa.array(sums[1]), pa.array(-sums[2] / UNIT)], schema=out_arrow)
+        return pa.Table.from_arrays([*(rows.column(k.name).combine_chunks() for k in kept), pa.array(sizes), pa.array(sums[0]), pa.array(np.full(len(own), n_train, dtype=np.int64)), pa.array(sums[1]), pa.array(-sums[2] / UNIT)], schema=out_arrow)
 
-    rows = parts.filter("bucket is null or bucket = -1").select("block", "bucket", *keys, "data")
+    rows = parts.filter("bucket is null").select("block", *keys, "data")
     return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, out_schema)
 
 

@@ -94,3 +94,17 @@ def test_perplexity(spark):
     df = spark.createDataFrame([(True, 2, -2.0, -4.0), (True, 2, -2.0, -4.0)], "held_out boolean, n_tokens long, score double, base_score double")
     r = P.perplexity(df, "held_out").first()
     assert r.perplexity == pytest.approx(10) and r.base_perplexity == pytest.approx(100)
+
+
+def test_words_with_one_ending_are_contexts_of_their_own(spark):
+    """What follows a word is learned from that word, not from others that end alike."""
+    pairs = {f"{c}{d}-tail": ("left" if (c, d) < ("k", "a") else "right") for c in "abcdefghijklmnopqrst" for d in "abc"}
+    assert len({P.context_of(w.encode()) for w in pairs}) == len(pairs)
+    data = [(i, f"{w} {pairs[w]}", True) for i, w in enumerate([*pairs] * 20)]
+    data += [(10_000 + i, f"{w} {x}", False) for i, w in enumerate(pairs) for x in ("left", "right")]
+    df = spark.createDataFrame(data, "doc_id long, text string, train boolean")
+    got = {}
+    for r in P.score(df, "train", ["doc_id", "text"]).collect():
+        got[r.text] = r.score
+    for w, x in pairs.items():
+        assert got[f"{w} {x}"] > got[f"{w} {'right' if x == 'left' else 'left'}"] + 0.5
