@@ -3,7 +3,7 @@
 Texts are lower-cased runs of letters and digits. Every run of LEAST tokens of a benchmark item is a seed; documents
 are joined with the seeds by hash, and an item that shares enough of them with a document is tiled over it: the
 longest common runs first, found by running Karp-Rabin at falling lengths, each marked in both and never used twice,
-down to LEAST tokens. The share of an item's tokens under tiles is its coverage; since tiles may lie in any order,
+down to LEAST tokens; what a tile leaves of another match stands in line again. The share of an item's tokens under tiles is its coverage; since tiles may lie in any order,
 reordered passages are found too.
 
 The benchmark is sent to the tasks in blocks of bounded size, one pass over the documents for each block.
@@ -18,6 +18,7 @@ import re
 from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import reduce
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -76,8 +77,16 @@ def tiles(pattern: list[int], text: list[int], least: int) -> list[tuple[int, in
         if longest > 2 * size:
             size = longest
             continue
-        for n, p, t in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if all(free_p[p : p + n]) and all(free_t[t : t + n]):
+        queue = [(-n, p, t) for n, p, t in found]
+        heapify(queue)
+        while queue:
+            n, p, t = heappop(queue)
+            n = -n
+            left = next((k for k in range(n) if not (free_p[p + k] and free_t[t + k])), n)
+            if left < n:  # a longer tile cut into it; what is right of that was found as a match of its own
+                if left >= size:
+                    heappush(queue, (-left, p, t))
+            else:
                 free_p[p : p + n], free_t[t : t + n] = [False] * n, [False] * n
                 out.append((p, t, n))
         if size == least or not any(free_p):

@@ -37,6 +37,26 @@ def test_tiles_cover_as_much_as_the_definition():
         assert sum(n for *_, n in D.tiles(p, t, 3)) == greedy(p, t, 3)
 
 
+def test_tiles_cover_as_much_as_the_definition_at_the_least_length_in_use():
+    rng = random.Random(2)
+    for _ in range(150):
+        p = list(range(rng.randrange(10, 40)))
+        t = []
+        for _ in range(rng.randrange(1, 6)):  # pieces in any order, which overlap
+            a = rng.randrange(len(p))
+            t += [*p[a : a + rng.randrange(3, 13)], -1]
+        assert sum(n for *_, n in D.tiles(p, t, D.LEAST)) == greedy(p, t, D.LEAST)
+
+
+def test_what_a_longer_tile_leaves_of_a_match_is_tiled(spark):
+    p = list(range(20))
+    assert sorted(D.tiles(p, [*p[:8], -1, *p[6:15]], D.LEAST)) == [(0, 0, 6), (6, 9, 9)]
+    words = [f"w{i}" for i in p]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    docs = spark.createDataFrame([(7, " ".join([*words[:8], "apart", *words[6:15]]))], "doc_id long, text string")
+    assert rows(D.contaminated(docs, bench)) == {(7, 1, 0.75, 2)} and D.clean(docs, bench).count() == 0
+
+
 def test_contamination(spark):
     rng = random.Random(1)
     make = lambda n: [f"w{rng.randrange(9000)}" for _ in range(n)]
