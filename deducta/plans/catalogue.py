@@ -608,6 +608,12 @@ def scalar_words(spark, sf_dir):
     return d.select(F.col("doc_id").alias("k"), F.size(scalars.words("text")).alias("n"))
 
 
+@_register(None)
+def scalar_words_all(spark, sf_dir):
+    """scalar_words over every document, those with quotes and backslashes too; SQL has no such splitting, so there is no oracle."""
+    return Tables(spark, sf_dir)("documents").select(F.col("doc_id").alias("k"), F.size(scalars.words("text")).alias("n"))
+
+
 @_register("select n_nationkey as k, (n_nationkey + 1)::bigint as ordinal from nation")
 def scalar_ordinal(spark, sf_dir):
     n = Tables(spark, sf_dir)("nation").withColumn("i", F.col("n_nationkey") + 1)
@@ -729,6 +735,16 @@ def store_materialized(spark, sf_dir):
     return store.read("Buyer").filter("c % 2 = 0")
 
 
+@_register(f"select distinct c from ({_STORE_SQL})")
+def store_materialized_all(spark, sf_dir):
+    """The whole of the relation that store_materialized reads the even half of."""
+    store = _orders_store(spark, sf_dir)
+    store.make_relation("Buyer", "c long")
+    store.install("Buyer(c) :- Orders(k, c)")
+    store.materialize("Buyer")
+    return store.read("Buyer")
+
+
 @_register("select * from (values (1, 'open_any'), (1, 'open_box'), (1, 'open_locked'), (2, 'open_with')) v(call, method)")
 def dispatch_positional(spark, sf_dir):
     selectors, params, calls, arguments, up = _dispatch_tables(spark)
