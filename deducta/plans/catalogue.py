@@ -267,6 +267,28 @@ def tc_nonlinear(spark, sf_dir):
     return t.rules("R(x, y) :- E(x, y)\nR(x, z) :- R(x, y), R(y, z)\nS(x, y) :- R(x, y), x < 10", "S", ["a", "b"], E=_cycle(t))
 
 
+#: Cycles of 16 keys over all of part, so that a closure has 16 rows for each part.
+_CYCLES_SQL = "select p_partkey as a, p_partkey // 16 * 16 + (p_partkey + 1) % 16 as b from part"
+
+
+def _cycles(t: Tables) -> DataFrame:
+    return t("part").select(F.col("p_partkey").alias("a"), F.expr("p_partkey div 16 * 16 + (p_partkey + 1) % 16").alias("b"))
+
+
+@_register(_CLOSURE.format(e=_CYCLES_SQL) + "select a, b from r")
+def tc_cyclic_all(spark, sf_dir):
+    """tc_cyclic on edges that grow with the table."""
+    t = Tables(spark, sf_dir)
+    return t.rules("R(x, y) :- E(x, y)\nR(x, z) :- E(x, y), R(y, z)", "R", ["a", "b"], E=_cycles(t))
+
+
+@_register(_CLOSURE.format(e=_CYCLES_SQL) + "select a, b from r")
+def tc_nonlinear_all(spark, sf_dir):
+    """tc_nonlinear on edges that grow with the table, with all pairs."""
+    t = Tables(spark, sf_dir)
+    return t.rules("R(x, y) :- E(x, y)\nR(x, z) :- R(x, y), R(y, z)\nS(x, y) :- R(x, y)", "S", ["a", "b"], E=_cycles(t))
+
+
 @_register(
     """with recursive d(k, n) as (select 1::bigint, 0 union all select p_partkey, n + 1 from d join part on p_partkey // 2 = k where p_partkey > 1)
     select distinct k from d where n % 2 = 0"""
@@ -298,6 +320,14 @@ def extensional_recursive_head(spark, sf_dir):
     return t.rules("Marked(p) :- Marked(c), Parent(c, p)", "Marked", ["k"], Parent=_tree(t), Marked=stored)
 
 
+@_register("with recursive r(k) as (select * from (select distinct l_partkey from lineitem) union select r.k // 2 from r where r.k > 1) select k from r")
+def extensional_recursive_head_all(spark, sf_dir):
+    """extensional_recursive_head from the parts of all line items."""
+    t = Tables(spark, sf_dir)
+    stored = t("lineitem").select("l_partkey").distinct()
+    return t.rules("Marked(p) :- Marked(c), Parent(c, p)", "Marked", ["k"], Parent=_tree(t), Marked=stored)
+
+
 @_register(
     _CLOSURE.format(e=_TREE_SQL)
     + """, down as (select p_partkey as k from part where p_size = 50)
@@ -316,6 +346,13 @@ def delegation_closure(spark, sf_dir):
     return fixpoint.closure_from(_tree(t), start).toDF("child", "ancestor")
 
 
+@_register("with recursive r(a, b) as (select p_partkey, p_partkey // 2 from part where p_partkey > 1 union select r.a, r.b // 2 from r where r.b > 1) select a as child, b as ancestor from r")
+def delegation_closure_all(spark, sf_dir):
+    """delegation_closure from every part."""
+    t = Tables(spark, sf_dir)
+    return fixpoint.closure_from(_tree(t), t("part").select("p_partkey")).toDF("child", "ancestor")
+
+
 @_register("select true as up, false as down")
 def delegation_reaches(spark, sf_dir):
     tree = _tree(Tables(spark, sf_dir))

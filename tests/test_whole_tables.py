@@ -28,3 +28,11 @@ def test_words_of_every_document(spark, tmp_path):
 def test_the_whole_materialized_relation(spark, sf_dir):
     got = rows(QUERIES["store_materialized_all"](spark, sf_dir))
     assert got == oracle(sf_dir, "store_materialized_all") and {c % 2 for (c,) in got} == {0, 1}
+
+
+@pytest.mark.parametrize("name", ["tc_cyclic_all", "tc_nonlinear_all", "extensional_recursive_head_all", "delegation_closure_all"])
+def test_recursion_over_all_rows(spark, sf_dir, name):
+    got = rows(QUERIES[name](spark, sf_dir))
+    assert got == oracle(sf_dir, name)
+    keys = {r.p_partkey for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").collect()}
+    assert {r[0] for r in got} >= ((keys - {0, 1} if name == "delegation_closure_all" else keys) if name != "extensional_recursive_head_all" else {r.l_partkey for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey").collect()})
