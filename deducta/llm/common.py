@@ -23,13 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of what df reads, as the planner knows them of its sources; joins don't inflate them."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)  # more is the planner's mark for unknown
+
+
 def buckets_for(df: DataFrame, mb: int = 16) -> int:
-    """Number of hash buckets for what is gathered from df: the shuffle partitions, or for a large input up to 16 times as many. The
-    size is the planner's estimate, which joins may inflate; hence the bound."""
-    spark = df.sparkSession
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(least, min(16 * least, size // (mb << 20) if size < 1 << 60 else 0))
+    """Number of hash buckets for what is gathered from df: one for each mb of what it reads, and the shuffle partitions at least."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, input_bytes(df) // (mb << 20))
 
 
 def arrow_schema(schema: T.StructType | str) -> pa.Schema:

@@ -1,17 +1,18 @@
 """LM scoring by a hierarchical Pitman-Yor model of words.
 
-Restaurants: one for each context, which is the whole preceding word (known by a 63-bit number: its last byte and 55 bits
-of its hash); one for each last byte of contexts, their shared parent; one root, of words without context; a uniform base
+Restaurants: one for each context, which is the whole preceding word (known by a 48-bit number: its last byte and 40 bits
+of its hash; two of a thousand million words share one at odds of one in 30,000); one for each last byte of contexts, their shared parent; one root, of words without context; a uniform base
 over the V words seen and one for all others. Contexts grow with the vocabulary: what a word's seating needs besides the
 word's own counts are the totals of its contexts, which lie in tables dealt by context.
 
 * Blocks of documents number their distinct words, and send each with its contexts and training counts to the bucket
   of the word. A bucket merges them: a word in every document is one entry per block, so no key is hot.
-* After a round each bucket sends what it has of every context to the bucket of the context, which adds up and answers
-  with the totals. Only the totals of the parents and the root are sent to all.
+* After a round each bucket sends its tables of every context to the bucket of the context, which adds up and answers
+  with the totals. Which contexts these are, and their customers, is written once, by the context's bucket. Only the
+  totals of the parents and the root are sent to all.
 * Seating is sampled by blocked Gibbs: all customers of a dish in a restaurant are seated anew, one after another,
-  given the tables elsewhere; past the first 32, in steps of a quarter of those seated (a binomial draw each).
-  A table is a customer of the parent. Totals of restaurants are those of the round before.
+  given the tables elsewhere; past the first 128, in steps of 1/32 of those seated (a binomial draw each), which is an
+  approximation. A table is a customer of the parent. Totals of restaurants are those of the round before.
 * Predictive probabilities are averaged over SAMPLES seatings, each with its own exact totals, so that they sum to
   one over all words; they go back to the blocks, which add up their documents.
 
@@ -32,7 +33,7 @@ from pyspark.sql import types as T
 from .common import Codes, arrow_schema, buckets_for, key_schema, pack, pack_all, pack_bytes, staged, table, text_or_empty, unpack, unpack_all, unpack_bytes
 
 BLOCK_CHARS = 16_000_000
-PARENTS, PER_PARENT = 256, 1 << 55
+PARENTS, PER_PARENT = 256, 1 << 40
 ROUNDS, BURN_IN, SAMPLES = 2, 2, 3
 STRENGTH = (1.0, 1.0, 1.0)  # of the root, parents and contexts
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -54,7 +55,7 @@ def reseat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.ran
     seated = 1
     c, a, t = customers[left], pull[left], np.ones(len(left), dtype=np.int64)
     while len(left):
-        step = 1 if seated < 32 else seated // 4
+        step = 1 if seated < 128 else seated // 32
         more = np.minimum(step, c - seated)
         p = a / np.maximum(seated - discount * t + a, 1e-300)
         t += rng.random(len(t)) < p if step == 1 else rng.binomial(more, np.clip(p, 0, 1))
@@ -296,30 +297,55 @@ def _given(bucket: int, seating: Seating, samples: list[Totals], n_buckets: int,
     for kind, i, customers, tables in [*sums, *more]:
         customers, tables = np.asarray(customers, dtype=float), np.asarray(tables, dtype=float)
         rows += [(bucket, kind, i, int(k), float(customers[k]), float(tables[k]), None, None) for k in np.flatnonzero(customers + tables)]
-    columns = [samples[0].contexts[0].values.astype(np.int64), *(t.contexts[1].values.astype(np.int64) for t in samples)]
+    columns = [t.contexts[1].values.astype(np.int64) for t in samples]
     for b, own in _dealt(seating.ids, n_buckets):
-        rows.append((bucket, "contexts", None, None, None, None, b, pack_all(np.diff(seating.ids[own], prepend=0), *(c[own] for c in columns))))
+        rows.append((bucket, "contexts", None, None, None, None, b, pack_all(*(c[own] for c in columns))))
     if data is not None:
         rows.append((bucket, "seatings", None, None, None, None, None, data))
     return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _ROUND, strict=True)], schema=_ROUND)
 
 
 REPLY = "bucket int, kind string, target int, data binary"
+INDEX = "bucket int, target int, contexts binary"
+_INDEX = pa.schema([("bucket", pa.int32()), ("target", pa.int32()), ("contexts", pa.binary())])
 
 
-def _replies(given: DataFrame) -> DataFrame:
+def _index(models: DataFrame, n_buckets: int) -> DataFrame:
+    """Each bucket's contexts and their customers there, for the bucket that adds them up."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("model").to_pylist(), strict=True):
+                _, _, context, count, ids = (x.astype(np.int64) for x in unpack_all(data))
+                ids = np.cumsum(ids)
+                customers = np.bincount(context, weights=count, minlength=len(ids)).astype(np.int64)
+                rows = [(bucket, b, pack_all(np.diff(ids[own], prepend=0), customers[own])) for b, own in _dealt(ids, n_buckets)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), _INDEX, strict=True)], schema=_INDEX)
+
+    return models.mapInArrow(run, INDEX)
+
+
+def _replies(given: DataFrame, index: DataFrame) -> DataFrame:
     """The totals of contexts over all buckets, for each bucket in the order of what it gave."""
     arrow = arrow_schema(REPLY)
 
-    def add_up(rows: pa.Table) -> pa.Table:
-        parts = [[x.astype(np.int64) for x in unpack_all(d)] for d in rows.column("data").to_pylist()]
-        ids, inverse = np.unique(np.concatenate([np.cumsum(p[0]) for p in parts]), return_inverse=True)
-        sums = [np.bincount(inverse, weights=np.concatenate([p[k] for p in parts]), minlength=len(ids)).astype(np.int64)[inverse] for k in range(1, len(parts[0]))]
+    def add_up(rows: pa.Table, listed: pa.Table) -> pa.Table:
+        known = dict(zip(listed.column("bucket").to_pylist(), listed.column("contexts").to_pylist(), strict=True))
+        parts = []
+        for bucket, data in zip(rows.column("bucket").to_pylist(), rows.column("data").to_pylist(), strict=True):
+            ids, customers = (x.astype(np.int64) for x in unpack_all(known[bucket]))
+            parts.append((np.cumsum(ids), customers, *(x.astype(np.int64) for x in unpack_all(data))))
+        if not parts:
+            return arrow.empty_table()
+        _, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        sums = [np.bincount(inverse, weights=np.concatenate([p[k] for p in parts])).astype(np.int64)[inverse] for k in range(1, len(parts[0]))]
         ends = np.cumsum([len(p[0]) for p in parts]).tolist()
         data = [pack_all(*(x[e - len(p[0]) : e] for x in sums)) for p, e in zip(parts, ends, strict=True)]
         return pa.Table.from_arrays([rows.column("bucket"), rows.column("kind"), rows.column("target"), pa.chunked_array([pa.array(data, type=pa.binary())])], schema=arrow)
 
-    return given.filter("kind = 'contexts'").select("bucket", "kind", "target", "data").groupBy("target").applyInArrow(add_up, REPLY)
+    sent = given.filter("kind = 'contexts'").select("bucket", "kind", "target", "data")
+    return sent.groupBy("target").cogroup(index.groupBy("target")).applyInArrow(add_up, REPLY)
 
 
 def _answered(seating: Seating, replies: pa.Table, n_buckets: int, shared: list[Totals]) -> list[Totals]:
@@ -373,6 +399,7 @@ def score(docs: DataFrame, train: str, keys: list[str], text: str = "text", bloc
             for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("model").to_pylist(), strict=True):
                 yield from _first(bucket, _seating(data), n_buckets).to_batches()
 
+    index = staged(_index(models, n_buckets), "lm-contexts", by="target")
     given = staged(models.mapInArrow(first, ROUND), "lm-round")
     rows, shared = _gathered(given)
     tokens, words = next(((r["customers"], r["tables"]) for r in rows if r["kind"] == "words"), (0.0, 0.0))
@@ -397,7 +424,7 @@ def score(docs: DataFrame, train: str, keys: list[str], text: str = "text", bloc
         return sweep
 
     for round_ in range(1, ROUNDS + 1):
-        given = staged(models.groupBy("bucket").cogroup(_replies(given).groupBy("bucket")).applyInArrow(sweeps(round_, shared), ROUND), "lm-round")
+        given = staged(models.groupBy("bucket").cogroup(_replies(given, index).groupBy("bucket")).applyInArrow(sweeps(round_, shared), ROUND), "lm-round")
         _, shared = _gathered(given)
     if len(shared) < SAMPLES:
         shared = [*shared, *[Totals()] * (SAMPLES - len(shared))]
@@ -423,7 +450,7 @@ def score(docs: DataFrame, train: str, keys: list[str], text: str = "text", bloc
                 out.append((a["block"], pack_all(known[word], n, np.rint(np.clip(-np.log10(total / len(each)), 0, 300) * UNIT).astype(np.int64)), a["slots"]))
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), answer_arrow, strict=True)], schema=answer_arrow) if out else answer_arrow.empty_table()
 
-    back = _replies(given).unionByName(given.filter("kind = 'seatings'").select("bucket", "kind", "target", "data"))
+    back = _replies(given, index).unionByName(given.filter("kind = 'seatings'").select("bucket", "kind", "target", "data"))
     answers = model.groupBy("bucket").cogroup(back.groupBy("bucket")).applyInArrow(answer, answer_schema)
     kept = key_schema(docs, keys)
     out_schema = T.StructType([*kept, *T._parse_datatype_string("n_tokens long, n_known long, train_tokens long, base_score double, score double").fields])

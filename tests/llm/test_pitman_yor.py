@@ -108,3 +108,82 @@ def test_words_with_one_ending_are_contexts_of_their_own(spark):
         got[r.text] = r.score
     for w, x in pairs.items():
         assert got[f"{w} {x}"] > got[f"{w} {'right' if x == 'left' else 'left'}"] + 0.5
+
+
+class Plain:
+    """The model by the book: every customer sits at a table, is taken up and seated anew, one at a time."""
+
+    def __init__(self, discounts, base, seed):
+        self.d, self.base, self.rng = discounts, base, np.random.default_rng(seed)
+        self.rooms = {}  # (level, context) -> word -> customers of each table
+
+    def parent(self, level, context):
+        return (level - 1, (context[-1:] if context else b"\0") if level == 2 else None)
+
+    def p(self, room, word):
+        level, context = room
+        above = self.base if level == 0 else self.p(self.parent(level, context), word)
+        tables = self.rooms.get(room, {})
+        mine, sizes = tables.get(word, []), [n for t in tables.values() for n in t]
+        d, s = self.d[level], P.STRENGTH[level]
+        return (sum(mine) - d * len(mine) + (s + d * len(sizes)) * above) / (s + sum(sizes))
+
+    def add(self, room, word):
+        level, context = room
+        above = self.base if level == 0 else self.p(self.parent(level, context), word)
+        tables = self.rooms.setdefault(room, {})
+        d, s = self.d[level], P.STRENGTH[level]
+        mine = tables.setdefault(word, [])
+        weights = np.array([n - d for n in mine] + [(s + d * sum(map(len, tables.values()))) * above])
+        at = self.rng.choice(len(weights), p=weights / weights.sum())
+        if at < len(mine):
+            mine[at] += 1
+        else:
+            mine.append(1)
+            if level:
+                self.add(self.parent(level, context), word)
+
+    def remove(self, room, word):
+        mine = self.rooms[room][word]
+        at = self.rng.choice(len(mine), p=np.array(mine) / sum(mine))
+        mine[at] -= 1
+        if not mine[at]:
+            del mine[at]
+            if room[0]:
+                self.remove(self.parent(*room), word)
+
+
+def test_score_agrees_with_a_plain_sampler(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}{'abc'[i % 3]}" for i in range(12)]
+    texts = [" ".join(words[min(11, int(rng.zipf(1.6)) - 1)] for _ in range(rng.integers(0, 40))) for _ in range(40)]
+    train = [i % 4 != 3 for i in range(40)]
+    docs = spark.createDataFrame([(i, t, b) for i, (t, b) in enumerate(zip(texts, train, strict=True))], "id long, text string, train boolean")
+    got = {r.id: r.score for r in P.score(docs, "train", ["id"]).collect()}
+
+    pairs = []
+    for t in texts:
+        tokens = [w.encode() for w in t.split()] + [b""]
+        pairs.append(list(zip(tokens, [b"", *tokens[:-1]], strict=True)))
+    seen = Counter(x for p, b in zip(pairs, train, strict=True) if b for x in p)
+    last = lambda c: c[-1:] or b"\0"
+    upper = Counter((w, last(c)) for w, c in seen)
+    root = Counter(w for w, _ in upper)
+    discounts = [min(0.95, max(0.05, (c1 := sum(n == 1 for n in x.values())) / max(c1 + 2 * sum(n == 2 for n in x.values()), 1))) for x in (root, upper, seen)]
+    own = Plain(discounts, 1 / (len({w for w, _ in seen}) + 1), 1)
+    customers = [x for p, b in zip(pairs, train, strict=True) if b for x in p]
+    for w, c in customers:
+        own.add((2, c), w)
+    total, sweeps = {x: 0.0 for p in pairs for x in p}, 0
+    for sweep in range(14):
+        for w, c in customers:
+            own.remove((2, c), w)
+            own.add((2, c), w)
+        if sweep >= 4:
+            sweeps += 1
+            for w, c in total:
+                total[w, c] += own.p((2, c), w)
+    want = {i: sum(math.log10(total[x] / sweeps) for x in p) for i, p in enumerate(pairs)}
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.01)
+    for i in want:
+        assert got[i] == pytest.approx(want[i], rel=0.06, abs=0.15)
