@@ -4,14 +4,14 @@ A text's five-word shingles are labelled by their occurrence, which makes each u
 the LENGTH smallest labelled shingles under a hash of its own and keeps their order in the text; two texts meet in a
 bucket if a sample agrees in shingles and order. Of texts with few shingles shorter samples are taken too.
 
-Two texts are near duplicates if an alignment of their shingles matches M of them in order with M / (n1 + n2 - M) of
-0.8 or more. Since labelled shingles are unique, the alignment is a longest increasing run of matching places, inside
-the band of shifts that 0.8 allows.
+Two texts that meet are near duplicates if their edit similarity, 1 - d / n, is 0.8 or more: d words are inserted, deleted or
+replaced in an alignment, and n is the longer text's number of words. d is exact: bit-parallel alignment in a band as
+wide as 0.8 allows, tried narrow first.
 
 Equal texts are one node. In a first round every bucket's texts are verified against its most central text, which joins
-a group of copies by a link each. Buckets that still hold several components are then compared in full, in blocks of
-bounded size, but for pairs that are connected already; a task returns links that join something, not pairs. Pairs
-whose samples agree too seldom for a similarity of 0.8 aren't aligned.
+a group of copies by a link each. In buckets that still hold several components, the texts outside the bucket's largest
+component are compared with all others of the bucket that they are apart from, in blocks of bounded size; texts of the
+largest component aren't compared with each other. A task returns links that join something, not pairs.
 
 Defined results: null and empty texts are one group; a text of fewer than five words is one shingle, so such texts are
 near duplicates if their words are equal; a class is named by its smallest doc_id, and by null if it has none.
@@ -19,8 +19,6 @@ near duplicates if their words are equal; a class is named by its smallest doc_i
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,24 +27,22 @@ from pyspark.sql import functions as F
 from .common import WORD, arrow_schema, grams, mix, staged, table, text_or_empty, word_hashes
 
 SHINGLE = 5
-#: Samples and shingles of each, for texts with LEAST_LONG shingles and more, and for those with up to MOST_SHORT. Of the long
-#: samples the first BUCKETED make buckets (at a similarity of 0.8 one in 17,000 pairs shares none of them); the others are
-#: kept in 32 bits, for the count of agreeing samples.
-LONG, SHORT = (64, 6), (24, 2)
-BUCKETED = 32
-LEAST_LONG, MOST_SHORT = 16, 20
-#: Agreeing samples below which a pair isn't aligned in the second round; at 0.8 about 16 and 15 agree.
-AGREE_LONG, AGREE_SHORT = 6, 6
-BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 400_000
+#: Samples and shingles of each, for all texts and, besides, for those with up to MOST_SHORT shingles.
+LONG, SHORT = (40, 2), (12, 1)
+MOST_SHORT = 16
+#: A text may have one word in so many edited.
+SLACK = 5
+BLOCK_TEXTS, BLOCK_WORDS = 1024, 400_000
+#: Places of the histograms that a pair's alignment is bounded by.
+BINS = 64
 #: A round of the components has a task for so many links; few links need no more files.
 LINKS_PER_TASK = 250_000
 
 _ODD = mix(np.arange(1, LONG[0] + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)
 
 
-def shingles(text: str, seen: dict) -> np.ndarray:
-    """Hashes of the labelled shingles of a text, in order."""
-    words = word_hashes(WORD.findall(text), seen)
+def shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of the labelled shingles of a text's words, in order."""
     found = grams(words, SHINGLE) if len(words) >= SHINGLE else grams(words, len(words)) if len(words) else mix(np.zeros(1, dtype=np.uint64))
     order = np.argsort(found, kind="stable")
     sorted_ = found[order]
@@ -97,61 +93,96 @@ def _smallest(hashed: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
+def distance(a: list[int], b: list[int], k: int) -> int:
+    """Edit distance of two lists, or k + 1 if it is larger, by bit-parallel alignment in a band of 2 k + 1 diagonals (Hyyro 2003). The
+    first list is at least as long as the other, and by no more than k."""
+    width = 2 * k + 2
+    mask, top = (1 << width) - 1, 1 << (width - 1)
+    up, down, cost, start = mask & ~((1 << (width - k - 1)) - 1), 0, k, k + 1 - width
+    most, last = k + len(b) - (len(a) - k), len(a) - k  # from there on the last row is followed
+    across, low, places = top >> 1, start - width - 1, {}
+    for i, x in enumerate(b):
+        if start - low > width:  # where each word is, in the next stretch of the band only
+            low, places = start, {}
+            for j in range(max(low, 0), min(low + 2 * width, len(a))):
+                places[a[j]] = places.get(a[j], 0) | 1 << (j - low)
+        at = places.get(x, 0) >> (start - low) & mask
+        level = (((at & up) + up) ^ up) & mask | at | down
+        plus, minus = (down | ~(level | up)) & mask, level & up
+        if i < last:
+            cost += not level & top
+        else:
+            cost += bool(plus & across) - bool(minus & across)
+            across >>= 1
+        if cost > most:
+            return k + 1
+        level >>= 1
+        up, down, start = (minus | ~(level | plus)) & mask, level & plus, start + 1
+    return min(cost, k + 1)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether an alignment in the band matches enough of two lists of labelled shingles."""
-    both = len(a) + len(b)
-    if 9 * min(len(a), len(b)) < 4 * both:
+    """Whether the edit similarity of two lists of words is 0.8 or more."""
+    if len(a) < len(b):
+        a, b = b, a
+    most = len(a) // SLACK
+    if len(a) - len(b) > most:
         return False
-    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if 9 * len(i) < 4 * both:
+    apart = np.flatnonzero(a[: len(b)] != b)
+    cut = int(apart[0]) if len(apart) else len(b)
+    a, b = a[cut:], b[cut:]
+    apart = np.flatnonzero(a[len(a) - len(b) :][::-1] != b[::-1])
+    cut = int(apart[0]) if len(apart) else len(b)
+    a, b = a[: len(a) - cut], b[: len(b) - cut]
+    if not len(b):
+        return len(a) <= most
+    words, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+    more = np.bincount(codes[: len(a)], minlength=len(words)) - np.bincount(codes[len(a) :], minlength=len(words))
+    least = int(np.maximum(more, 0).sum())  # words that must go, whatever the order
+    if least > most:
         return False
-    j = j[np.argsort(i)]
-    if (np.diff(j) > 0).all():
-        return True
-    i = np.sort(i)
-    ends: list[int] = []
-    for y in j[np.abs(i - j) <= both // 9].tolist():  # more shifts than that leave too few matches
-        at = bisect_left(ends, y)
-        ends[at : at + 1] = [y]
-    return 9 * len(ends) >= 4 * both
+    x, y, k = codes[: len(a)].tolist(), codes[len(a) :].tolist(), max(8, 2 * least)
+    while k < most:
+        if distance(x, y, k) <= k:
+            return True
+        k *= 4
+    return distance(x, y, most) <= most if most else not least and x == y
 
 
 def sketch(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """tid binary, first_id, n int, keys array<long> (bucketed long samples, then short ones, null where not taken), prints binary (the
-    other long samples): a row for each distinct text."""
+    """tid binary, first_id, n int (words), keys array<long> (long samples, then short ones, null where not taken): a row for each
+    distinct text."""
     rows = docs.select(F.col(f"`{key}`").alias("id"), text_or_empty(f"`{text}`").alias("body")).select(F.unhex(F.md5("body")).alias("tid"), "id", "body")
-    schema = f"tid binary, id {rows.schema['id'].dataType.simpleString()}, n int, keys array<bigint>, prints binary"
+    schema = f"tid binary, id {rows.schema['id'].dataType.simpleString()}, n int, keys array<bigint>"
     arrow = arrow_schema(schema)
 
     def run(batches):
         seen, done = {}, set()
-        none_long, none_short = [None] * BUCKETED, [None] * SHORT[0]
+        none_short = [None] * SHORT[0]
         for batch in batches:
-            bodies, sizes, keys, prints = batch.column("body"), [], [], []
+            bodies, sizes, keys = batch.column("body"), [], []
             for i, tid in enumerate(batch.column("tid").to_pylist()):
                 if tid in done:  # a copy needs no second sketch
                     sizes.append(None)
                     keys.append(None)
-                    prints.append(None)
                     continue
                 if len(done) > 200_000:
                     done.clear()
                 done.add(tid)
-                found = shingles(bodies[i].as_py(), seen)
-                sizes.append(len(found))
-                long = sample(found, *LONG, 0) if len(found) >= LEAST_LONG else None
-                keys.append((none_long if long is None else long[:BUCKETED].tolist()) + (sample(found, *SHORT, 1).tolist() if len(found) <= MOST_SHORT else none_short))
-                prints.append(b"" if long is None else (long[BUCKETED:] & 0xFFFFFFFF).astype(np.uint32).tobytes())
+                words = word_hashes(WORD.findall(bodies[i].as_py()), seen)
+                found = shingles(words)
+                sizes.append(len(words))
+                keys.append(sample(found, *LONG, 0).tolist() + (sample(found, *SHORT, 1).tolist() if len(found) <= MOST_SHORT else none_short))
             if sizes:
-                yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("id"), pa.array(sizes, type=pa.int32()), pa.array(keys, type=arrow.field("keys").type), pa.array(prints, type=pa.binary())], schema=arrow)
+                yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("id"), pa.array(sizes, type=pa.int32()), pa.array(keys, type=arrow.field("keys").type)], schema=arrow)
 
-    return rows.mapInArrow(run, schema).groupBy("tid").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys"), F.max("prints").alias("prints"))
+    return rows.mapInArrow(run, schema).groupBy("tid").agg(F.min("id").alias("first_id"), F.max("n").alias("n"), F.first("keys", ignorenulls=True).alias("keys"))
 
 
 def aligned(pairs: DataFrame, lists: DataFrame) -> DataFrame:
-    """The pairs (a, b) of pairs whose texts are near duplicates. lists: tid, shingles binary."""
-    left = lists.select(F.col("tid").alias("a"), F.col("shingles").alias("x"))
-    right = lists.select(F.col("tid").alias("b"), F.col("shingles").alias("y"))
+    """The pairs (a, b) of pairs whose texts are near duplicates. lists: tid, words binary."""
+    left = lists.select(F.col("tid").alias("a"), F.col("words").alias("x"))
+    right = lists.select(F.col("tid").alias("b"), F.col("words").alias("y"))
     schema = "a binary, b binary"
     arrow = arrow_schema(schema)
 
@@ -195,15 +226,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     bodies = docs.select(F.unhex(F.md5(text_or_empty(f"`{text}`"))).alias("tid"), F.col(f"`{key}`").alias("first_id"), text_or_empty(f"`{text}`").alias("body"))
     wanted = members.select("tid").distinct().join(nodes.select("tid", "first_id"), "tid")
     on = (bodies.tid == wanted.tid) & bodies.first_id.eqNullSafe(wanted.first_id)
-    schema = "tid binary, shingles binary"
+    schema = "tid binary, words binary"
     arrow = arrow_schema(schema)
 
     def listed(batches):
         seen: dict = {}
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([shingles(x.as_py(), seen).tobytes() for x in batch.column("body")], type=pa.binary())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([batch.column("tid"), pa.array([word_hashes(WORD.findall(x.as_py()), seen).tobytes() for x in batch.column("body")], type=pa.binary())], schema=arrow)
 
-    lists = staged(bodies.join(wanted, on, "left_semi").select("tid", "body").mapInArrow(listed, schema).dropDuplicates(["tid"]), "shingles")
+    lists = staged(bodies.join(wanted, on, "left_semi").select("tid", "body").mapInArrow(listed, schema).dropDuplicates(["tid"]), "words")
 
     central = members.groupBy("tid").agg(F.sum("texts").alias("central"))
     pivots = members.join(central, "tid").groupBy("bucket").agg(F.max(F.struct("central", "tid")).getField("tid").alias("b"))
@@ -219,12 +250,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def second_round(members: DataFrame, lists: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
     """Links between texts of a bucket that the first round left in several components."""
-    placed = members.join(found, members.tid == found.node, "left").select("bucket", "tid", "texts", "load", F.coalesce("component", "tid").alias("c"))
-    unsettled = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo != hi").select("bucket")
-    count = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("load") / BLOCK_SHINGLES)).cast("long")
-    info = nodes.select("tid", "keys", "prints").join(lists, "tid")
-    loaded = placed.join(unsettled, "bucket").join(info, "tid").withColumn("blocks", count).withColumn("block", F.pmod(F.xxhash64("tid"), "blocks"))
-    blocked = loaded.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("tid", "c", "keys", "prints", "shingles")).alias("rows"))
+    placed = staged(members.join(found, members.tid == found.node, "left").select("bucket", "tid", "texts", "load", F.coalesce("component", "tid").alias("c")), "placed")
+    sizes = placed.groupBy("bucket", "c").agg(F.count("*").alias("size"))
+    major = sizes.groupBy("bucket").agg(F.max(F.struct("size", "c")).getField("c").alias("major"), F.count("*").alias("parts")).filter("parts > 1").select("bucket", "major")
+    count = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("load") / BLOCK_WORDS)).cast("long")
+    info = nodes.select("tid", "keys").join(lists, "tid")
+    loaded = placed.join(major, "bucket").join(info, "tid").withColumn("largest", F.col("c") == F.col("major")).withColumn("block", F.pmod(F.xxhash64("tid"), count))
+    blocked = staged(loaded.groupBy("bucket", "largest", "block").agg(F.collect_list(F.struct("tid", "c", "keys", "words")).alias("rows")), "blocks")
     schema = "a binary, b binary"
     arrow = arrow_schema(schema)
 
@@ -237,19 +269,20 @@ def second_round(members: DataFrame, lists: DataFrame, nodes: DataFrame, found:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], type=pa.binary()), pa.array([y for _, y in out], type=pa.binary())], schema=arrow)
 
-    alone = blocked.select("bucket", "rows", F.lit(None).cast(blocked.schema["rows"].dataType).alias("rows2")).mapInArrow(run, schema)
-    large = staged(blocked.filter("blocks > 1"), "blocks")  # buckets of more than one block
-    pairs = large.select("bucket", "block", "rows").join(large.select("bucket", F.col("block").alias("block2"), F.col("rows").alias("rows2")), "bucket").filter("block < block2")
+    apart = blocked.filter("not largest")  # blocks of what is outside the largest component
+    alone = apart.select("bucket", "rows", F.lit(None).cast(blocked.schema["rows"].dataType).alias("rows2")).mapInArrow(run, schema)
+    others = blocked.select("bucket", F.col("largest").alias("largest2"), F.col("block").alias("block2"), F.col("rows").alias("rows2"))
+    pairs = apart.select("bucket", "block", "rows").join(others, "bucket").filter("largest2 or block < block2")
     return alone.union(pairs.select("bucket", "rows", "rows2").mapInArrow(run, schema))
 
 
 def _unpacked(rows: pa.StructArray):
     tids, comps = rows.field("tid").to_pylist(), rows.field("c").to_pylist()
     flat = rows.field("keys").flatten()
-    width = BUCKETED + SHORT[0]
-    rest = LONG[0] - BUCKETED
-    prints = np.array([np.frombuffer(x, dtype=np.uint32) if x else np.zeros(rest, dtype=np.uint32) for x in rows.field("prints").to_pylist()]).reshape(-1, rest)
-    return tids, comps, flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, width), ~np.asarray(flat.is_null()).reshape(-1, width), prints, [np.frombuffer(x, dtype=np.uint64) for x in rows.field("shingles").to_pylist()]
+    width = LONG[0] + SHORT[0]
+    words = [np.frombuffer(x, dtype=np.uint64) for x in rows.field("words").to_pylist()]
+    bins = np.array([np.bincount((x & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS) for x in words], dtype=np.int32).reshape(-1, BINS)
+    return tids, comps, flat.fill_null(0).to_numpy(zero_copy_only=False).reshape(-1, width), ~np.asarray(flat.is_null()).reshape(-1, width), words, bins
 
 
 def compare(bucket: int, left, right, same: bool) -> list[tuple[bytes, bytes]]:
@@ -261,20 +294,25 @@ def compare(bucket: int, left, right, same: bool) -> list[tuple[bytes, bytes]]:
             parent[x] = x = parent[parent[x]]
         return x
 
-    tids, comps, keys, taken, prints, lists = left
-    tids2, comps2, keys2, taken2, prints2, lists2 = right
+    tids, comps, keys, taken, words, bins = left
+    tids2, comps2, keys2, taken2, words2, bins2 = right
+    size, size2 = np.array([len(x) for x in words]), np.array([len(x) for x in words2])
+    number = {c: n for n, c in enumerate(dict.fromkeys([*comps, *comps2]))}
+    of2 = np.array([number[c] for c in comps2])
     out = []
     for i in range(len(tids)):
-        equal = (keys2 == keys[i]) & taken2 & taken[i]
-        long = equal[:, :BUCKETED].sum(axis=1) + np.where(taken2[:, 0] & taken[i, 0], (prints2 == prints[i]).sum(axis=1), 0)
-        fits = (long >= AGREE_LONG) | (equal[:, BUCKETED:].sum(axis=1) >= AGREE_SHORT)
+        most = np.maximum(size2, size[i]) // SLACK
+        fits = (np.abs(size2 - size[i]) <= most) & (of2 != number[comps[i]])
         if same:
             fits[: i + 1] = False
-        for j in np.flatnonzero(fits).tolist():
-            if int(keys[i][int(equal[j].argmax())]) != bucket:
-                continue
+        at = np.flatnonzero(fits)
+        at = at[np.abs(bins2[at] - bins[i]).sum(axis=1) <= 2 * most[at]]  # an edit moves two words at most
+        if not len(at):
+            continue
+        equal = (keys2[at] == keys[i]) & taken2[at] & taken[i]
+        for j in at[keys[i][equal.argmax(axis=1)] == bucket].tolist():
             a, b = root(comps[i]), root(comps2[j])
-            if a != b and similar(lists[i], lists2[j]):
+            if a != b and similar(words[i], words2[j]):
                 parent[a] = b
                 out.append((tids[i], tids2[j]))
     return out
