@@ -1,4 +1,4 @@
-"""Substring dedup: suffix automata of reference passages, streamed for matching statistics.
+"""Substring dedup: suffix automata of reference shards, streamed for matching statistics.
 
 A window is WINDOW consecutive words of one document. It is a repeat if its words also start in a document with a
 smaller id. Two cheap passes narrow down where repeats can be:
@@ -7,10 +7,12 @@ smaller id. Two cheap passes narrow down where repeats can be:
   anchor, so only windows around anchors that two different texts hold can be repeats. One place in thirteen is one.
 * Windows around those anchors are hashed; of each hash the smallest document is the window's reference.
 
-Runs of windows with one reference are then streamed through the suffix automaton of that document's shared passages;
-a place where the matching statistic reaches WINDOW ends a repeat. An automaton is built where its runs are: a reference
-with very many runs is sent to as many tasks as the join splits it into, and no task holds all of them. Equal texts
-are judged once: a copy of a text with a smaller id is a repeat from end to end.
+Reference passages, consecutive windows of their reference, are dealt into shards of about SHARD_WINDOWS windows, and the
+other documents' runs of windows go to the shards of their references. There they are streamed through the suffix
+automaton of the shard; a place where the matching statistic reaches WINDOW ends a repeat, and the maximal spans are
+removed. A shard with many runs is split: each part has RUN_WORDS words or so to stream and an automaton of its own,
+so a passage in very many documents is sent once a part. Equal texts are judged once: a copy of a text with a smaller
+id is a repeat from end to end.
 
 Defined results: a null text has no words; a row with a null id is kept whole and is no reference; rows with one id
 are one document, whatever their texts; ties and repeated rows are judged alike; other columns stay.
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import WORD, arrow_schema, grams, staged, table, text_or_empty, word_hashes
 
 WINDOW, ANCHOR = 50, 25
+#: Windows of a shard's reference passages, and words that are streamed through one automaton.
+SHARD_WINDOWS, RUN_WORDS = 50_000, 400_000
 
 
 class SuffixAutomaton:
@@ -109,11 +113,11 @@ def windows_at(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.cumsum(marks)[:n] > 0)
 
 
-def merged(starts: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Half-open spans that windows of a width cover, as few as can be."""
+def merged(starts: np.ndarray, width: int, gap: int | None = None) -> list[tuple[int, int]]:
+    """Half-open spans that windows of a width cover, as few as can be; with a gap, of windows whose starts are no further apart."""
     if not len(starts):
         return []
-    cut = np.flatnonzero(np.diff(starts) > width) + 1
+    cut = np.flatnonzero(np.diff(starts) > (width if gap is None else gap)) + 1
     return [(int(x[0]), int(x[-1]) + width) for x in np.split(starts, cut)]
 
 
@@ -185,47 +189,46 @@ def repeats(docs: DataFrame, profiled: DataFrame, firsts: DataFrame, key: str =
     windows_arrow = arrow_schema(windows_schema)
     windows = staged(near.select("id", "tid", "body", "hs").mapInArrow(dense, windows_schema), "windows")
     several = staged(windows.groupBy("w").agg(F.min("id").alias("ref"), F.max("id").alias("last")).filter("ref < last").select("w", "ref"), "shared-windows")
-    by_text = windows.join(several, "w").groupBy("id", "tid").agg(F.sort_array(F.collect_list(F.struct("p", "ref"))).alias("at"))  # no more than a text's words
+
+    def by_text(shards: int) -> DataFrame:
+        entry = F.struct("p", "ref", F.pmod(F.xxhash64("ref"), F.lit(shards)).alias("shard"))
+        return windows.join(several, "w").groupBy("id", "tid").agg(F.sort_array(F.collect_list(entry)).alias("at"))  # no more than a text's words
+
+
+    shards = -(-several.count() // SHARD_WINDOWS) or 1
 
     def passages(batches):
         for batch in batches:
             bodies, lists_ = batch.column("body"), batch.column("at")
             for i in range(batch.num_rows):
                 own, tid, words = batch.column("id")[i].as_py(), batch.column("tid")[i].as_py(), WORD.findall(bodies[i].as_py())
-                by_ref: dict = {}
+                found: dict = {}
                 for x in lists_[i].as_py():
-                    by_ref.setdefault(x["ref"], []).append(x["p"])
-                rows = [(ref, tid, own, a, " ".join(words[a:b])) for ref, at in by_ref.items() for a, b in merged(np.array(at, dtype=np.int64), WINDOW)]
+                    found.setdefault((x["shard"], x["ref"] == own), []).append(x["p"])
+                # only consecutive windows, so that each window of a passage has its reference there
+                rows = [(shard, mine, tid, own, a, b - a, " ".join(words[a:b])) for (shard, mine), at in found.items() for a, b in merged(np.array(at, dtype=np.int64), WINDOW, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), passages_arrow, strict=True)], schema=passages_arrow)
 
-    passages_schema = f"ref {id_type}, tid binary, id {id_type}, p int, words string"
+    passages_schema = f"shard bigint, mine boolean, tid binary, id {id_type}, p int, n int, words string"
     passages_arrow = arrow_schema(passages_schema)
-    cut = staged(near.join(by_text, ["id", "tid"]).select("id", "tid", "body", "at").mapInArrow(passages, passages_schema), "passages")
-    references = staged(cut.filter("id = ref").groupBy("ref").agg(F.array_sort(F.collect_list("words")).alias("shared")), "references")  # of one document
-    streamed = cut.filter("id <> ref").join(references, "ref")
-
-    def stream(batches):
-        built: dict = {}
-        for batch in batches:
-            out = []
-            shared = batch.column("shared")
-            for i, (ref, tid, own, p, words) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ref", "tid", "id", "p", "words")), strict=True)):
-                automaton = built.get(ref)
-                if automaton is None:
-                    tokens: list = []
-                    for passage in shared[i].as_py():
-                        tokens += [*passage.split(" "), None]
-                    if len(built) >= 32:
-                        built.clear()
-                    automaton = built[ref] = SuffixAutomaton(tokens)
-                ends = np.array([e for e, n in enumerate(automaton.statistics(words.split(" ")), 1) if n >= WINDOW], dtype=np.int64)
-                out += [(own, tid, p + a, p + b) for a, b in merged(ends - WINDOW, WINDOW)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), spans_arrow, strict=True)], schema=spans_arrow)
+    cut = staged(near.join(by_text(shards), ["id", "tid"]).select("id", "tid", "body", "at").mapInArrow(passages, passages_schema), "passages")
+    parts = cut.filter("not mine").groupBy("shard").agg(F.ceil(F.sum("n") / RUN_WORDS).cast("int").alias("parts"))
+    references = cut.filter("mine").join(parts, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "words").toDF("to_shard", "to_part", "words")
+    runs = cut.filter("not mine").join(parts, "shard").select("shard", F.pmod(F.xxhash64("id", "tid", "p"), "parts").cast("int").alias("part"), "id", "tid", "p", "words").toDF("shard", "part", "id", "tid", "p", "words")
+
+    def stream(runs: pa.Table, references: pa.Table) -> pa.Table:
+        tokens: list = []
+        for passage in references.column("words").to_pylist():
+            tokens += [*passage.split(" "), None]
+        automaton, out = SuffixAutomaton(tokens), []
+        for tid, own, p, words in zip(*(runs.column(c).to_pylist() for c in ("tid", "id", "p", "words")), strict=True):
+            ends = np.array([e for e, n in enumerate(automaton.statistics(words.split(" ")), 1) if n >= WINDOW], dtype=np.int64)
+            out += [(own, tid, p + a, p + b) for a, b in merged(ends - WINDOW, WINDOW)]
+        return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), spans_arrow, strict=True)], schema=spans_arrow) if out else spans_arrow.empty_table()
 
     spans_schema = f"id {id_type}, tid binary, a int, b int"
     spans_arrow = arrow_schema(spans_schema)
-    spans = streamed.select("ref", "tid", "id", "p", "words", "shared").mapInArrow(stream, spans_schema)
+    spans = runs.groupBy("shard", "part").cogroup(references.groupBy("to_shard", "to_part")).applyInArrow(stream, spans_schema)
     gathered = spans.groupBy("id", "tid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("s"))  # no more than a text's words
     # overlapping spans become one
     joined = F.aggregate("s", F.array().cast("array<struct<a:int,b:int>>"), lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))))).otherwise(F.concat(acc, F.array(x))))

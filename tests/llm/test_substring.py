@@ -81,3 +81,13 @@ def test_query(spark, tmp_path):
 
 def test_empty_table(spark):
     assert S.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_shards_and_parts_of_any_size_agree(spark, monkeypatch):
+    """Small shards, each streamed in many parts, and a text of megabytes."""
+    monkeypatch.setattr(S, "SHARD_WINDOWS", 7)
+    monkeypatch.setattr(S, "RUN_WORDS", 90)
+    texts = [*cases(), (500, "b" * 2_000_000), (501, " ".join(f"x{i % 777}" for i in range(60_000)))]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_words, r.n_removed) for r in S.dedup(df).collect())
+    assert got == sorted(((i is None, i or 0), n, gone) for i, n, gone, _ in brute(texts))
