@@ -87,5 +87,45 @@ def test_contamination(spark):
 def test_a_large_benchmark_goes_in_blocks(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     whole = rows(D.contaminated(docs, bench))
-    monkeypatch.setattr(D, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(D, "BLOCK_CHARS", 3000)
     assert rows(D.contaminated(docs, bench)) == whole and whole
+
+
+def test_whole_query_is_that_of_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    make = lambda n, few=60: [f"w{rng.randrange(few)}" for _ in range(n)]
+    items = [(i, " ".join(make(rng.randrange(0, 30), rng.choice([8, 60, 900])))) for i in range(25)]
+    items += [(1, items[1][1]), (70, items[2][1]), (None, items[3][1]), (71, "same " * 30), (72, None), (73, "two words"), (74, "")]
+    texts = []
+    for i in range(60):
+        parts = [make(rng.randrange(15), 900)]
+        for _ in range(rng.randrange(4)):
+            w = (rng.choice(items)[1] or "").split()
+            a = rng.randrange(len(w) + 1)
+            parts += [w[a:], make(rng.randrange(3), 900), w[:a]]
+        texts.append((i, " ".join(x for p in parts for x in p)))
+    texts += [(60, None), (61, ""), (62, "same " * 500), (2, texts[2][1]), (None, texts[3][1])]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = []
+    for i, t in texts:
+        for n, x in items:
+            p, d = D.tokens(x or ""), D.tokens(t or "")
+            codes = {w: c for c, w in enumerate(dict.fromkeys(p))}
+            if p and greedy([codes[w] for w in p], [codes.get(w, -1) for w in d], min(D.LEAST, len(p))) >= D.COVERAGE * len(p):
+                want.append((i, n))
+    key = lambda x: [(v is None, v or 0) for v in x]
+    assert sorted(((r.doc_id, r.item_id) for r in D.op4_decontaminate(spark, str(tmp_path)).collect()), key=key) == sorted(want, key=key) and want
+
+
+def test_repeated_tokens_and_items_take_no_square_of_work(spark):
+    import time
+
+    start = time.perf_counter()
+    assert D.tiles([0] * 400, [0] * 100_000, D.LEAST) == [(0, 0, 400)]
+    block = D.Benchmark.of([b"x"], ["again " * 400], D.LEAST)
+    assert block.matches(D.word_hashes(["again"] * 100_000, {}), D.COVERAGE) == [(0, 1.0, 1)]
+    assert time.perf_counter() - start < 4
+    bench = spark.range(100_000).selectExpr("id item_id", "'one item that is there a hundred thousand times' text")
+    docs = spark.createDataFrame([(1, "it says one item that is there a hundred thousand times over"), (2, "it says nothing " * 200_000)], "doc_id long, text string")
+    assert D.contaminated(docs, bench).count() == 100_000 and {r.doc_id for r in D.clean(docs, bench).collect()} == {2}
