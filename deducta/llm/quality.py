@@ -1,13 +1,15 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A document's bytes are cut into overlapping chunks that cover the whole of it. Filters of WIDTH bytes, one weight for
-each byte value and place, slide over each chunk; a chunk keeps each filter's largest response; the mean and the
-maximum of those over the chunks feed a logistic output. Filters and output are learned together from a bounded,
-class-balanced sample of labelled documents; the class balance of all labelled documents sets the output's offset.
+each byte value and place, slide over each chunk byte by byte; a chunk keeps each filter's largest response; the mean
+and the maximum of those over the chunks feed a logistic output. Filters and output are learned together from a bounded,
+class-balanced sample of labelled documents: SAMPLE_PER_LABEL of each label, in the order of a hash, short and long
+ones; a text of over SAMPLE_BYTES is learned from by SPREAD chunks, evenly spread over the whole of it. Scores are of all
+chunks always. The class balance of all labelled documents sets the output's offset.
 
 Defined results: a null text is an empty one and has one chunk of padding; rows with equal texts have equal scores;
-labels that are null, or of documents that are not there, teach nothing; without both labels every score is 0.5, or
-0.99 or 0.01 if there is one.
+labels that are null, or of documents that are not there, teach nothing; of several labels of a doc_id the least holds,
+of several texts the least; without both labels every score is 0.5, or 0.99 or 0.01 if there is one.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, key_schema, table, text_or_empty
 
-CHUNK, OVERLAP, WIDTH, STRIDE, FILTERS = 256, 16, 6, 2, 16
-#: The bound of the training sample: documents of each label, taken in the order of a hash, and the largest of them.
-SAMPLE_PER_LABEL, SAMPLE_BYTES = 1600, 12_000
+CHUNK, OVERLAP, WIDTH, FILTERS = 256, 16, 6, 16
+#: The bound of the training sample: documents of each label, the longest of which all chunks are taken, and how many of longer ones.
+SAMPLE_PER_LABEL, SAMPLE_BYTES, SPREAD = 1600, 12_000, 48
 LEAST_STEPS = 350
 THRESHOLD = 0.7
 SYMBOLS = 257  # bytes and padding
@@ -56,12 +58,12 @@ class Network:
         best, place = np.empty((len(chunks), FILTERS), dtype=np.float32), None
         if want_place:
             place = np.empty((len(chunks), FILTERS), dtype=np.int64)
-        n = (CHUNK - WIDTH) // STRIDE + 1
+        n = CHUNK - WIDTH + 1
         for i in range(0, len(chunks), 192):
             x = chunks[i : i + 192]
-            total = np.take(self.filters[0], x[:, : n * STRIDE : STRIDE], axis=0)
+            total = np.take(self.filters[0], x[:, :n], axis=0)
             for j in range(1, WIDTH):
-                total += np.take(self.filters[j], x[:, j : j + (n - 1) * STRIDE + 1 : STRIDE], axis=0)
+                total += np.take(self.filters[j], x[:, j : j + n], axis=0)
             if want_place:
                 place[i : i + 192] = total.argmax(axis=1)
             best[i : i + 192] = total.max(axis=1)
@@ -79,12 +81,30 @@ class Network:
         logits = np.array([float(np.dot(row.astype(np.float64), self.out.astype(np.float64))) for row in h]) + float(self.bias[0]) + self.offset
         return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
 
-    def train(self, texts: list[bytes], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = 3) -> Network:
-        """Adam on the log loss. Gradients reach a filter only where its response was largest. A small sample is gone through
-        more often, so that there are LEAST_STEPS steps."""
+    def gradients(self, x: np.ndarray, n: np.ndarray, labels: np.ndarray) -> list[np.ndarray]:
+        """Of the mean log loss of documents of n chunks each, by filters, output and bias. They reach a filter only where its response
+        was largest."""
+        r, place = self.respond(x, True)
+        h = self.pooled(r, n)
+        p = 1 / (1 + np.exp(-np.clip(h @ self.out + self.bias[0], -30, 30)))
+        d = ((p - labels) / len(n)).astype(np.float32)
+        d_h = d[:, None] * self.out[None]
+        doc = np.repeat(np.arange(len(n)), n)
+        is_top = r == h[doc, FILTERS:]
+        d_r = d_h[doc, :FILTERS] / n[doc, None] + d_h[doc, FILTERS:] * is_top
+        d_z = d_r * 0.5 * (1 - r * r)
+        by_filter, k = np.zeros_like(self.filters), np.arange(FILTERS)[None]
+        for j in range(WIDTH):
+            np.add.at(by_filter[j], (x[np.arange(len(x))[:, None], place + j], np.broadcast_to(k, place.shape)), d_z)
+        return [by_filter, h.T @ d, np.array([d.sum()], dtype=np.float32)]
+
+    def train(self, texts: list[list[bytes]], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = 3) -> Network:
+        """Adam on the log loss; a text is a list of pieces. A small sample is gone through more often, so that there are LEAST_STEPS steps."""
         epochs = max(epochs, -(-LEAST_STEPS * batch // len(texts)))
         rng = np.random.default_rng(seed)
-        chunks, counts = chunked(texts)
+        chunks, counts = chunked([piece for t in texts for piece in t])
+        pieces = np.array([len(t) for t in texts])
+        counts = np.add.reduceat(counts, np.cumsum(pieces) - pieces)
         starts = np.cumsum(counts) - counts
         weights = [self.filters, self.out, self.bias]
         first, second, t = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
@@ -94,20 +114,8 @@ class Network:
                 own = order[at : at + batch]
                 n = counts[own]
                 rows = np.repeat(starts[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                x = chunks[rows]
-                r, place = self.respond(x, True)
-                h = self.pooled(r, n)
-                p = 1 / (1 + np.exp(-np.clip(h @ self.out + self.bias[0], -30, 30)))
-                d = ((p - labels[own]) / len(own)).astype(np.float32)
-                d_h = d[:, None] * self.out[None]
-                doc = np.repeat(np.arange(len(own)), n)
-                is_top = r == h[doc, FILTERS:]
-                d_r = d_h[doc, :FILTERS] / n[doc, None] + d_h[doc, FILTERS:] * is_top
-                d_z = d_r * 0.5 * (1 - r * r)
-                grads = [np.zeros_like(self.filters), h.T @ d + 1e-4 * self.out, np.array([d.sum()], dtype=np.float32)]
-                k = np.arange(FILTERS)[None]
-                for j in range(WIDTH):
-                    np.add.at(grads[0][j], (x[np.arange(len(x))[:, None], place * STRIDE + j], np.broadcast_to(k, place.shape)), d_z)
+                grads = self.gradients(chunks[rows], n, labels[own])
+                grads[1] = grads[1] + 1e-4 * self.out
                 t += 1
                 step = rate * (0.3 if epoch >= epochs - 2 else 1)
                 for w, g, m, v in zip(weights, grads, first, second, strict=True):
@@ -125,17 +133,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     if len(balance) < 2:
         net.offset = {0: -4.6, 1: 4.6}[next(iter(balance))] if balance else 0.0
         return net
-    there = clean.join(docs.select(key).distinct(), key, "left_semi")
-    chosen = {}
-    for value in (0, 1):
-        chosen |= {r[key]: value for r in there.filter(F.col("__label") == value).orderBy(F.xxhash64(key), key).limit(SAMPLE_PER_LABEL).collect()}
-    # a few texts, picked out of the scan; no text is shuffled but those
-    body = docs.filter(F.col(key).isin(list(chosen))).select(key, text_or_empty(text).alias("__text")).filter(F.octet_length("__text") <= SAMPLE_BYTES)
-    sample = [{"__text": r["__text"], "__label": chosen[r[key]]} for r in body.groupBy(key).agg(F.min("__text").alias("__text")).orderBy(F.xxhash64(key), key).collect()]
-    found = sum(r["__label"] for r in sample), sum(1 - r["__label"] for r in sample)
+    there = docs.select(key).join(clean, key).groupBy(key).agg(F.min("__label").alias("__label"))
+    order = [F.xxhash64(key), F.col(key)]
+    chosen = {r[key]: r["__label"] for r in there.filter("__label = 0").orderBy(*order).limit(SAMPLE_PER_LABEL).union(there.filter("__label = 1").orderBy(*order).limit(SAMPLE_PER_LABEL)).collect()}
+    # a few texts, picked out of the scan; no text is shuffled but those, and of long ones only pieces
+    raw = text_or_empty(text).cast("binary")
+    size = F.octet_length(raw).cast("long")
+    spread = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long")), lambda i: F.substr(raw, (F.floor(i * (size - CHUNK) / (SPREAD - 1)) + 1).cast("int"), F.lit(CHUNK)))
+    body = docs.filter(F.col(key).isin(list(chosen))).select(key, F.when(size <= SAMPLE_BYTES, F.array(raw)).otherwise(spread).alias("__pieces"))
+    sample = [([bytes(p) for p in r["__pieces"]], chosen[r[key]]) for r in body.groupBy(key).agg(F.min("__pieces").alias("__pieces")).orderBy(*order).collect()]
+    found = sum(y for _, y in sample), sum(1 - y for _, y in sample)
     if not all(found):
         return net
-    net.train([r["__text"].encode("utf-8", "surrogatepass") for r in sample], np.array([r["__label"] for r in sample], dtype=np.float32))
+    net.train([x for x, _ in sample], np.array([y for _, y in sample], dtype=np.float32))
     net.offset = float(np.log(balance[1] / balance[0]) - np.log(found[0] / found[1]))
     return net
 

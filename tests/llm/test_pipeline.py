@@ -8,6 +8,9 @@ import tiktoken
 import corpus_pipeline as P
 from deducta.llm import bpe, decontaminate, near_dup, quality
 
+from .test_decontaminate import greedy
+from .test_quality import plain_score
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -26,9 +29,9 @@ def test_stages(spark, sf_dir, tmp_path):
         if name == "quality_classifier":
             net = quality.trained(spark, sf_dir, spark.read.parquet(f"{sf_dir}/documents.parquet"))
             ids = sorted(before)
-            assert after.keys() == {i for i, s in zip(ids, net.scores([(before[i].text or "").encode() for i in ids]), strict=True) if s >= P.REJECT_BELOW}
+            assert after.keys() == {i for i, s in zip(ids, (plain_score(net, (before[i].text or "").encode()) for i in ids), strict=True) if s >= P.REJECT_BELOW}
         elif name == "near_duplicates":
-            lists = {i: near_dup.shingles(r.text or "", {}) for i, r in before.items()}
+            lists = {i: near_dup.word_hashes(WORD.findall(r.text or ""), {}) for i, r in before.items()}
             root = {i: i for i in before}
             for i in sorted(before):
                 for j in sorted(before):
@@ -54,7 +57,7 @@ def test_stages(spark, sf_dir, tmp_path):
                     covered = {q + d for q in range(len(item) - 4) if tuple(item[q : q + 5]) in grams for d in range(5)}
                     if len(covered) >= 0.6 * len(item):
                         codes = {w: n for n, w in enumerate(dict.fromkeys(item))}
-                        if sum(n for *_, n in decontaminate.tiles([codes[w] for w in item], [codes.get(w, -1) for w in t], 5)) >= 0.6 * len(item):
+                        if greedy([codes[w] for w in item], [codes.get(w, -1) for w in t], 5) >= 0.6 * len(item):
                             leaks.add(i)
             assert leaks and after.keys() == before.keys() - leaks
         else:
