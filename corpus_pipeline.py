@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from deducta.llm import bpe, decontaminate, near_dup, quality, substring
 from deducta.llm.common import staged, table
 
-#: Documents with a lower score for quality go: those that are likelier bad than good.
-REJECT_BELOW = 0.5
+#: Documents with a lower score for quality go: those that the classifier's own query predicts 0.
+REJECT_BELOW = quality.THRESHOLD
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
