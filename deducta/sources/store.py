@@ -1,19 +1,23 @@
 """A versioned store of relations: a change log of commits in Parquet, snapshots, and optimistic transactions.
 
     root/catalog/00000003.json            relations and rules as of a version
-    root/log/Edge/version=4/part-*.parquet   changes of a commit: the columns and op, + or -
-    root/snapshots/Edge/version=4/        the whole relation as of a version
-    root/commits/00000004.json            a commit's manifest; a commit without one hasn't happened
+    root/log/Edge/version=4/ID/part-*.parquet   changes of a commit: the columns and op, + or -
+    root/snapshots/Edge/data-ID/          a whole relation
+    root/snapshots/Edge/00000004-ID       says that data-ID is the relation as of a version; written when the data is there
+    root/commits/00000004.json            a commit's manifest: for each relation the ID of its changes, or of a first load
 
 A commit writes its changes first and its manifest last; the manifest is created without overwriting, so of two
-writers of one version one fails and validates again.
+writers of one version one fails and validates again. What no manifest or mark names hasn't happened, whatever a failed
+writer left behind; a load's snapshot counts if the manifest of its version names it.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +47,7 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         self.volatile: dict[str, DataFrame] = {}
+        self._manifests: dict[int, dict] = {}  # they never change
         self.version = self._last()
         self.catalog = self._load_catalog()
 
@@ -119,28 +124,55 @@ class Store:
             raise RelationError("E_RELATION", f"no relation {name}")
         return self.catalog.relations[name]
 
-    def _versions(self, kind: str, name: str) -> list[int]:
-        return [int(v[8:]) for v in self._list(kind, name) if v.startswith("version=")]
+    def manifest(self, version: int) -> dict:
+        """What a commit wrote. A writer that has just created it gets a moment to fill it."""
+        if version not in self._manifests:
+            for left in reversed(range(100)):
+                text = self._read("commits", f"{version:08d}.json")
+                if text.endswith("}") or not left:
+                    break
+                time.sleep(0.05)
+            self._manifests[version] = json.loads(text)
+        return self._manifests[version]
+
+    def _snapshots(self, name: str) -> list[tuple[int, str]]:
+        """Versions and IDs of the published snapshots of a relation. A load's mark ends in .load."""
+        out = []
+        for mark in self._list("snapshots", name):
+            if mark.startswith("data-"):
+                continue
+            version, _, key = mark.removesuffix(".load").partition("-")
+            if not mark.endswith(".load") or int(version) <= self._last() and self.manifest(int(version)).get("loaded", {}).get(name) == key:
+                out.append((int(version), key))
+        return sorted(out)
+
+    def _snapshot(self, name: str, version: int) -> tuple[int, str | None]:
+        """The last snapshot up to a version; 0 and None without one."""
+        return max((x for x in self._snapshots(name) if x[0] <= version), default=(0, None))
+
+    def _changed(self, name: str, after: int, upto: int) -> list[tuple[int, str]]:
+        """Versions that changed a relation, and the folders of their changes."""
+        found = ((v, self.manifest(v)) for v in range(after + 1, upto + 1))
+        return [(v, f"{self.root}/log/{name}/version={v}/{m['relations'][name]}" if name in m["relations"] else f"{self.root}/snapshots/{name}/data-{m['loaded'][name]}") for v, m in found if name in m["relations"] or name in m.get("loaded", {})]
 
     def committed(self, name: str, after: int, upto: int) -> list[int]:
         """Versions that changed a relation; leftovers of commits that failed have no manifest and don't count."""
-        out = []
-        for v in self._versions("log", name):
-            if after < v <= upto and f"{v:08d}.json" in self._list("commits") and name in json.loads(self._read("commits", f"{v:08d}.json"))["relations"]:
-                out.append(v)
-        return out
+        return [v for v, _ in self._changed(name, after, upto)]
 
     def changes(self, name: str, after: int = 0, upto: int | None = None) -> DataFrame:
         """The committed changes of a relation in versions after .. upto: its columns, op and version. Other versions' files aren't listed."""
         r = self.relation(name)
-        upto = self.version if upto is None else upto
-        parts = [self.spark.read.schema(T.StructType([*r.struct.fields, T.StructField("op", T.StringType())])).parquet(f"{self.root}/log/{name}/version={v}/{json.loads(self._read('commits', f'{v:08d}.json'))['relations'][name]}").withColumn("version", F.lit(v).cast("long")) for v in self.committed(name, after, upto)]
-        if not parts:
-            return self.spark.createDataFrame([], T.StructType([*r.struct.fields, T.StructField("op", T.StringType()), T.StructField("version", T.LongType())]))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        logged = T.StructType([*r.struct.fields, T.StructField("op", T.StringType())])
+        parts = []
+        for v, folder in self._changed(name, after, self.version if upto is None else upto):
+            rows = self.spark.read.schema(logged).parquet(folder) if "/log/" in folder else self.spark.read.schema(r.struct).parquet(folder).withColumn("op", F.lit("+"))
+            parts.append(rows.withColumn("version", F.lit(v).cast("long")))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], T.StructType([*logged.fields, T.StructField("version", T.LongType())]))
+
+    def net_changes(self, name: str, after: int, upto: int) -> DataFrame:
+        """Tuples that are in one of two versions only, and op: + or -. Only what was committed between is read."""
+        since = self.changes(name, after, upto).groupBy(*self.relation(name).columns).agg(F.min_by("op", "version").alias("first"), F.max_by("op", "version").alias("op"))
+        return since.filter("first = op").drop("first")
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         """A stored relation as of a version: the last snapshot before it and, for each tuple, the last change since."""
@@ -148,12 +180,11 @@ class Store:
         if r.durability == "volatile":
             return self.volatile.get(name, self.spark.createDataFrame([], r.struct))
         version = self.version if version is None else version
-        shots = [v for v in self._versions("snapshots", name) if v <= version]
-        base = self.spark.read.schema(r.struct).parquet(f"{self.root}/snapshots/{name}/version={shots[-1]}") if shots else self.spark.createDataFrame([], r.struct)
-        if not self.committed(name, shots[-1] if shots else 0, version):
+        at, key = self._snapshot(name, version)
+        base = self.spark.read.schema(r.struct).parquet(f"{self.root}/snapshots/{name}/data-{key}") if key else self.spark.createDataFrame([], r.struct)
+        if not self.committed(name, at, version):
             return base
-        since = self.changes(name, shots[-1] if shots else 0, version)
-        last = since.groupBy(*r.columns).agg(F.max_by("op", "version").alias("op"))
+        last = self.changes(name, at, version).groupBy(*r.columns).agg(F.max_by("op", "version").alias("op"))
         return base.join(last, r.columns, "left_anti").union(last.filter("op = '+'").drop("op"))
 
     def derived(self, version: int | None = None) -> Evaluation:
@@ -162,7 +193,7 @@ class Store:
 
     def since(self, version: int) -> list[dict]:
         """Manifests of the commits after a version."""
-        return [json.loads(self._read("commits", n)) for n in self._list("commits") if n.endswith(".json") and int(n[:-5]) > version]
+        return [self.manifest(v) for v in range(version + 1, self._last() + 1)]
 
     # writing
 
@@ -185,12 +216,13 @@ class Store:
 
     def bulk_load(self, name: str, df: DataFrame) -> int:
         """Fills an empty relation: written as its first snapshot, without a log."""
-        r = self.relation(name)
-        if self._versions("log", name) or self._versions("snapshots", name):
+        r, before = self.relation(name), self._last()
+        if self._snapshots(name) or self.committed(name, 0, before):
             raise RelationError("E_RELATION", f"{name} isn't empty")
-        v = self._last() + 1
-        self._checked(r, df).write.parquet(f"{self.root}/snapshots/{name}/version={v}")
-        if not self._write(json.dumps({"version": v, "relations": {}, "loaded": [name]}), "commits", f"{v:08d}.json"):
+        v, key = before + 1, uuid.uuid4().hex
+        self._checked(r, df).write.parquet(f"{self.root}/snapshots/{name}/data-{key}")
+        self._write("", "snapshots", name, f"{v:08d}-{key}.load")
+        if not self._write(json.dumps({"version": v, "relations": {}, "loaded": {name: key}}), "commits", f"{v:08d}.json"):
             raise Conflict(name, "another commit came first")
         self.version = v
         return v
@@ -202,9 +234,12 @@ class Store:
         return persistable(own.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in r.struct.fields))).distinct()
 
     def compact(self, name: str) -> None:
-        """Writes a snapshot of the current version; reads start there."""
-        if self._versions("log", name) and self.version not in self._versions("snapshots", name):
-            self.read(name).write.parquet(f"{self.root}/snapshots/{name}/version={self.version}")
+        """Writes a snapshot of the current version; reads start there. Several writers may do so at once."""
+        at, version = self._snapshot(name, self.version)[0], self.version
+        if self.committed(name, at, version):
+            key = uuid.uuid4().hex
+            self.read(name, version).write.parquet(f"{self.root}/snapshots/{name}/data-{key}")
+            self._write("", "snapshots", name, f"{version:08d}-{key}")
 
     def materialize(self, *names: str) -> None:
         """Reconciles stored relations to what the rules derive for them."""
@@ -300,15 +335,14 @@ class Transaction:
     def set_conflicts(self, name: str, current: int) -> DataFrame:
         """Asserted tuples that the snapshot had and the current version has lost."""
         r = self.store.relation(name)
-        lost = self.store.read(name, self.base).join(self.store.read(name, current), r.columns, "left_anti")
+        lost = self.store.net_changes(name, self.base, current).filter("op = '-'")
         return self.writes[name].filter("op = '+'").drop("op").join(lost, r.columns, "left_semi")
 
     def functional_conflicts(self, name: str, current: int) -> DataFrame:
         """Written keys whose tuple is another in the current version than in the snapshot."""
         r = self.store.relation(name)
         keys = [r.columns[k] for k in r.key]
-        before, now = self.store.read(name, self.base), self.store.read(name, current)
-        moved = before.join(now, r.columns, "left_anti").union(now.join(before, r.columns, "left_anti")).select(*keys).distinct()
+        moved = self.store.net_changes(name, self.base, current).select(*keys)
         return self.writes[name].select(*keys).distinct().join(moved, keys, "left_semi")
 
     def _validate(self, name: str, current: int) -> None:
@@ -322,14 +356,15 @@ class Transaction:
                 raise Conflict(name, "a key was changed meanwhile")
         if r.key:
             keys = [r.columns[k] for k in r.key]
-            if not self.read(name).groupBy(*keys).count().filter("count > 1").isEmpty():
+            written = self.writes[name].filter("op = '+'").select(*keys).distinct()  # others had one tuple before
+            if not self.read(name).join(written, keys, "left_semi").groupBy(*keys).count().filter("count > 1").isEmpty():
                 raise RelationError("E_CARDINALITY", f"{name}: two tuples with one key")
 
     def visible(self, name: str) -> DataFrame:
         """The writes that change something: asserts of absent tuples and retractions of present ones."""
-        r, base = self.store.relation(name), self.store.read(name)
-        own = self.writes[name]
-        return own.filter("op = '+'").join(base, r.columns, "left_anti").unionByName(own.filter("op = '-'").join(base, r.columns, "left_semi"))
+        r, own = self.store.relation(name), self.writes[name]
+        there = staged(self.store.read(name).join(own.select(*r.columns), r.columns, "left_semi"), "there")  # few writes are broadcast, and no base is shuffled
+        return own.filter("op = '+'").join(there, r.columns, "left_anti").unionByName(own.filter("op = '-'").join(there, r.columns, "left_semi"))
 
     def commit(self) -> int:
         """Validates against the current version, writes the changes, then publishes them. A commit without changes makes no version."""
@@ -355,7 +390,6 @@ class Transaction:
                 break  # else another writer took the version: validate again
         store.version = v
         for n in effects:
-            shots = store._versions("snapshots", n)
-            if len(store.committed(n, shots[-1] if shots else 0, v)) >= COMPACT_AFTER:
+            if len(store.committed(n, store._snapshot(n, v)[0], v)) >= COMPACT_AFTER:
                 store.compact(n)
         return v

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +18,24 @@ from ..sources.store import Store
 RESYNCHRONIZE, REVOKED = "resynchronize", "revoked"
 
 
-def change_stream(store: Store, relation: str, files_per_batch: int | None = None) -> DataFrame:
-    """The change log of a relation as a streaming DataFrame: its columns, op and version. A version without a manifest is taken out
-    by apply_committed, which reads manifests per batch."""
-    r = store.relation(relation)
-    schema = T.StructType([*r.struct.fields, T.StructField("op", T.StringType()), T.StructField("version", T.LongType())])
-    read = store.spark.readStream.schema(schema).option("basePath", f"{store.root}/log/{relation}").option("recursiveFileLookup", "false")
-    if files_per_batch:
-        read = read.option("maxFilesPerTrigger", files_per_batch)
-    return read.parquet(f"{store.root}/log/{relation}/version=*/*")
+def change_stream(store: Store, commits_per_batch: int | None = None) -> DataFrame:
+    """The commits of a store as a streaming DataFrame of versions, from their manifests; what a failed writer left has none."""
+    read = store.spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.json")
+    if commits_per_batch:
+        read = read.option("maxFilesPerTrigger", commits_per_batch)
+    return read.load(f"{store.root}/commits").select(F.regexp_extract("path", r"([0-9]+)\.json$", 1).cast("int").alias("version"))
+
+
+def follow_relation(store: Store, relation: str, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, commits_per_batch: int | None = None):
+    """Runs apply(changes, batch number) for the changes of a relation in each batch of commits: its columns, op and version."""
+
+    def batch(versions: DataFrame, number: int) -> None:
+        found = sorted(r["version"] for r in versions.collect())  # a row for each new commit
+        for v in found:
+            if store.committed(relation, v - 1, v):
+                apply(store.changes(relation, v - 1, v), number)
+
+    return follow(change_stream(store, commits_per_batch), batch, checkpoint, once)
 
 
 def fold(changes: DataFrame, columns: list[str], order: str = "version") -> DataFrame:
@@ -33,19 +43,34 @@ def fold(changes: DataFrame, columns: list[str], order: str = "version") -> Data
     return changes.groupBy(*columns).agg(F.max_by("op", order).alias("op"))
 
 
+#: Batches that a replica keeps apart before it folds them into one table.
+FOLD_AFTER = 16
+
+
 class Replica:
     """A copy of a relation that batches of changes keep up to date. It remembers the last change of each tuple, so batches may come
-    again or out of order."""
+    again or out of order. A batch costs its own size: it is folded by itself and kept; every FOLD_AFTER batches all are
+    folded into one table."""
 
     def __init__(self, start: DataFrame, version: int = 0):
         self.columns = start.columns
-        self.last = start.withColumns({"op": F.lit("+"), "version": F.lit(version).cast("long")})
+        self.parts = [start.withColumns({"op": F.lit("+"), "version": F.lit(version).cast("long")})]
+
+    def _folded(self, parts: list[DataFrame]) -> DataFrame:
+        last = reduce(DataFrame.unionByName, parts).groupBy(*self.columns).agg(F.max(F.struct("version", "op")).alias("l"))
+        return last.select(*self.columns, "l.op", "l.version")
 
     def apply(self, changes: DataFrame) -> None:
         """changes: the columns, op and version."""
-        both = self.last.unionByName(changes.select(*self.columns, "op", F.col("version").cast("long").alias("version")))
-        last = both.groupBy(*self.columns).agg(F.max(F.struct("version", "op")).alias("l"))
-        self.last = staged(last.select(*self.columns, "l.op", "l.version"), "replica")
+        new = changes.select(*self.columns, "op", F.col("version").cast("long").alias("version"))
+        self.parts.append(staged(self._folded([new]), "replica"))
+        if len(self.parts) > FOLD_AFTER:
+            self.parts = [staged(self._folded(self.parts), "replica")]
+
+    @property
+    def last(self) -> DataFrame:
+        """The columns and the last op and version of each tuple that was ever there."""
+        return self._folded(self.parts)
 
     def read(self) -> DataFrame:
         return self.last.filter("op = '+'").select(*self.columns)
@@ -125,4 +150,4 @@ def stream_of(spark: SparkSession, path: str, schema: str, **options) -> DataFra
     return read.parquet(path)
 
 
-__all__ = ["ANY", "Replica", "Subscription", "Var", "catalogue_changes", "change_stream", "follow", "fold", "stream_of", "subscribe"]
+__all__ = ["ANY", "Replica", "Subscription", "Var", "catalogue_changes", "change_stream", "follow", "follow_relation", "fold", "stream_of", "subscribe"]

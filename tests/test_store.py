@@ -1,10 +1,12 @@
 import pytest
+from pyspark.sql import functions as F
 
 from deducta.operators.pattern import ANY
 from deducta.sources.catalog import Catalog
 from deducta.sources.program import file_in, file_out, load_text, program_text
 from deducta.sources.store import Conflict, Store
-from deducta.streaming.feed import Replica, change_stream, follow, subscribe
+from deducta.streaming import feed
+from deducta.streaming.feed import Replica, follow_relation, subscribe
 from deducta.values import RelationError
 
 from .conftest import rows
@@ -145,7 +147,7 @@ def test_subscription(store, spark):
 def test_change_stream_feeds_a_replica(store, spark, tmp_path):
     put(store, "Edge", pairs(spark, (1, 2), (2, 3)))
     replica = Replica(spark.createDataFrame([], "a long, b long"))
-    go = lambda: follow(change_stream(store, "Edge"), lambda b, _: replica.apply(b), f"file://{tmp_path}/cursor")
+    go = lambda: follow_relation(store, "Edge", lambda b, _: replica.apply(b), f"file://{tmp_path}/cursor")
     go()
     store.transact(lambda t: (t.retract("Edge", pairs(spark, (1, 2))), t.assert_("Edge", pairs(spark, (7, 8)))))
     go()
@@ -175,3 +177,51 @@ def test_materialize(store, spark):
     store.install("Path(x, y) :- Edge(x, y)\nPath(x, z) :- Edge(x, y), Path(y, z)")
     store.materialize("Path")
     assert rows(store.read("Path")) == {(1, 2), (2, 3), (1, 3)}
+
+
+def test_what_failed_writers_left_is_seen_by_nobody(store, spark, tmp_path):
+    put(store, "Edge", pairs(spark, (1, 2)))
+    other = Store(spark, store.root)
+    other.make_relation("Loaded", "a long, b long")
+    store.catalog = other.catalog
+    write, lost = store._write, []
+
+    def late(text, *at):
+        if at[0] == "commits" and not lost:  # another writer publishes this version first
+            lost.append(at)
+            put(other, "Edge", pairs(spark, (5, 6)))
+        return write(text, *at)
+
+    store._write = late
+    with pytest.raises(Conflict):
+        store.bulk_load("Loaded", pairs(spark, (7, 7)))
+    store._write = write
+    pairs(spark, (8, 8)).withColumn("op", F.lit("+")).write.parquet(f"{store.root}/log/Edge/version=3/leftover")
+    pairs(spark, (9, 9)).write.parquet(f"{store.root}/snapshots/Edge/data-half")  # a compaction that died before its mark
+    again = Store(spark, store.root)
+    assert again.version == 2 and rows(again.read("Loaded")) == set() and rows(again.read("Edge")) == {(1, 2), (5, 6)}
+    replica = Replica(spark.createDataFrame([], "a long, b long"))
+    follow_relation(again, "Edge", lambda b, _: replica.apply(b), f"file://{tmp_path}/cursor", commits_per_batch=1)
+    assert rows(replica.read()) == {(1, 2), (5, 6)} and rows(again.changes("Edge")) == {(1, 2, "+", 1), (5, 6, "+", 2)}
+    again.bulk_load("Loaded", pairs(spark, (4, 4)))
+    put(again, "Edge", pairs(spark, (3, 3)))
+    assert rows(Store(spark, store.root).read("Loaded")) == {(4, 4)} and rows(again.changes("Loaded")) == {(4, 4, "+", 3)} and rows(again.read("Edge")) == {(1, 2), (5, 6), (3, 3)}
+
+
+def test_two_compactions_of_a_version(store, spark):
+    put(store, "Edge", pairs(spark, (1, 2)))
+    a, b = Store(spark, store.root), Store(spark, store.root)
+    a.compact("Edge")
+    b.compact("Edge")
+    again = Store(spark, store.root)
+    assert rows(again.read("Edge")) == {(1, 2)} and len(again._snapshots("Edge")) == 1
+    put(again, "Edge", pairs(spark, (2, 2)))
+    assert rows(a.read("Edge", 1)) == {(1, 2)} and rows(again.read("Edge")) == {(1, 2), (2, 2)}
+
+
+def test_a_replica_folds_its_batches(spark, monkeypatch):
+    monkeypatch.setattr(feed, "FOLD_AFTER", 3)
+    replica = Replica(pairs(spark, (0, 0)))
+    for v in range(1, 8):
+        replica.apply(spark.createDataFrame([(v, v, "+", v), (v - 1, v - 1, "-", v)], "a long, b long, op string, version long"))
+    assert rows(replica.read()) == {(7, 7)} and len(replica.parts) <= 3
