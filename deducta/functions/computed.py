@@ -109,6 +109,7 @@ def search_terms(query: str) -> list[str]:
     return sorted(set(re.findall(r"[a-z0-9_-]+", low)))
 
 
+#: Fixed values below: the folders and endings by which a path has its scope.
 def text_scope(path: Column) -> Column:
     return (
         F.when(path.startswith("sketches/"), "sketches")
@@ -273,3 +274,8 @@ def mentioned_facts(relations: dict[str, DataFrame], subject: object, kind: str
     for p in parts[1:]:
         out = out.union(p)
     return out.distinct()
+
+
+def extensional_mentioned_facts(store, subject: object, kind: str = "int") -> DataFrame:
+    """Like mentioned_facts, of the stored relations of a store alone; what its rules derive is left out."""
+    return mentioned_facts({n: store.read(n) for n in store.catalog.relations}, subject, kind)

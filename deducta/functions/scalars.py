@@ -119,7 +119,12 @@ def url_encode_component(s) -> Column:
 
 
 def url_decode_component(s) -> Column:
-    return F.url_decode(_c(s))
+    """Undoes url_encode_component; + is a blank. E_TYPE for escapes that aren't whole, or bytes that aren't UTF-8."""
+    s = _c(s)
+    bad = F.lit("E_TYPE: not an encoded component")
+    escaped = F.regexp_extract_all(F.lower(s), F.lit("((?:%[0-9a-f]{2})+)"), 1)
+    whole = ~F.regexp_replace(s, "%[0-9A-Fa-f]{2}", "").contains("%") & ~F.exists(escaped, lambda x: ~F.is_valid_utf8(F.unhex(F.replace(x, F.lit("%"), F.lit(""))).cast("string")))
+    return F.when(whole, F.url_decode(s)).when(s.isNotNull(), F.raise_error(bad))
 
 
 def sort(values) -> Column:
@@ -136,11 +141,32 @@ def to_literal(c) -> Column:
     return F.to_json(F.array(_c(c))).substr(F.lit(2), F.char_length(F.to_json(F.array(_c(c)))) - 2)
 
 
+@F.pandas_udf(T.BooleanType())
+def _one_json(s: pd.Series) -> pd.Series:
+    def ok(x):
+        try:
+            json.loads(x)
+        except (ValueError, RecursionError):
+            return False
+        return True
+
+    return s.map(lambda x: x is not None and ok(x))
+
+
 def from_literal(s, kind: str) -> Column:
-    """A literal's value as a kind (a Spark type); E_TYPE for other text."""
+    """A literal's value as a kind: a Spark type, arrays and maps of text among them; "symbol" for a colon and a name; "identity" for # and a
+    number. E_TYPE for other text, and for text with more than one value. Literals of numbers and words need no Python."""
     s = _c(s)
+    if kind == "symbol":
+        name = F.regexp_extract(s, r"\A\s*:([A-Za-z_][A-Za-z0-9_]*)\s*\z", 1)
+        return F.when(name != "", name).when(s.isNotNull(), fail("E_TYPE", "not a symbol", "string"))
+    if kind == "identity":
+        number = F.regexp_extract(s, r"\A\s*#([0-9]{1,17})\s*\z", 1)
+        return F.when(number != "", number.cast("long")).when(s.isNotNull(), fail("E_TYPE", "not an identity", "long"))
     found = F.from_json(F.concat(F.lit('{"v":'), s, F.lit("}")), f"struct<v:{kind}>", {"mode": "PERMISSIVE"}).getField("v")
-    return F.when(found.isNull(), fail("E_TYPE", "not a literal of this kind", kind)).otherwise(found)
+    plain = s.rlike(r"\A\s*(?:-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?|true|false)\s*\z")
+    good = found.isNotNull() & F.when(plain, True).otherwise(_one_json(s))
+    return F.when(good, found).otherwise(fail("E_TYPE", "not a literal of this kind", kind))
 
 
 def map_pairs(m) -> Column:
@@ -165,16 +191,28 @@ def map_get_or(m, key, default) -> Column:
     return F.coalesce(F.try_element_at(_c(m), key if isinstance(key, Column) else F.lit(key)), default if isinstance(default, Column) else F.lit(default))
 
 
-def list_slice(values, first: int, last: int) -> Column:
-    """values[first..last], both included, from 0; E_INDEX outside."""
+def list_slice(values, first: int, last: int | None = None) -> Column:
+    """values[first..last], both included, from 0, or to the end; E_INDEX outside and for positions below 0 or out of order."""
     v = _c(values)
-    return F.when(F.size(v) <= last, F.raise_error(F.lit("E_INDEX: range out of the list"))).otherwise(F.slice(v, first + 1, last - first + 1))
+    if first < 0 or last is not None and last < first:
+        return F.when(v.isNull(), v).otherwise(F.raise_error(F.lit("E_INDEX: no such range")).cast("void"))
+    end = F.size(v) if last is None else F.lit(last + 1)
+    return F.when((end > F.size(v)) | (F.size(v) < first), F.raise_error(F.lit("E_INDEX: range out of the list"))).otherwise(F.slice(v, F.lit(first + 1), F.greatest(end - first, F.lit(0))))
 
 
 def list_set(values, at: int, value) -> Column:
     x = value if isinstance(value, Column) else F.lit(value)
     v = _c(values)
-    return F.when(F.size(v) <= at, F.raise_error(F.lit("E_INDEX: no such index"))).otherwise(F.transform(v, lambda y, i: F.when(i == at, x).otherwise(y)))
+    return F.when(F.lit(at < 0) | (F.size(v) <= at), F.raise_error(F.lit("E_INDEX: no such index"))).otherwise(F.transform(v, lambda y, i: F.when(i == at, x).otherwise(y)))
+
+
+def truthy(c, t: T.DataType) -> Column:
+    """Truth of a value: of a boolean its own, of a list or a set of rows whether there is anything in it; all else is true, 0 and the
+    empty string too."""
+    c = _c(c)
+    if isinstance(t, T.BooleanType):
+        return F.coalesce(c, F.lit(False))
+    return F.size(c) > 0 if isinstance(t, T.ArrayType) else F.lit(True)
 
 
 def map_set(m, key, value) -> Column:
@@ -228,10 +266,11 @@ EMBEDDING_SIZE = 8
 
 def embed_text(s) -> Column:
     """Eight buckets; each character adds one to bucket (code point + place) mod 8; scaled to length 1."""
-    codes = F.transform(string_chars(s), lambda x, i: F.pmod(F.ascii(x) + i, F.lit(EMBEDDING_SIZE)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(EMBEDDING_SIZE - 1)), lambda b: F.size(F.filter(codes, lambda x: x == b)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(x))
+    digits = F.array_join(F.transform(string_chars(s), lambda x, i: F.pmod(F.ascii(x) + i, F.lit(EMBEDDING_SIZE)).cast("string")), "")
+    of = lambda d, b: (F.char_length(d) - F.char_length(F.replace(d, F.lit(str(b)), F.lit("")))).cast("double")
+    counts = F.element_at(F.transform(F.array(digits), lambda d: F.array(*[of(d, b) for b in range(EMBEDDING_SIZE)])), 1)  # the digits are made once
+    scaled = lambda v: F.transform(v, lambda x: x / F.greatest(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)), F.lit(1.0)))
+    return F.element_at(F.transform(F.array(counts), scaled), 1)  # counts are 0, or their length is 1 at least
 
 
 def frob(delegate, payload) -> Column:

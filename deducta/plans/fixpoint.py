@@ -13,17 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.algebra import positional
+from ..operators.pattern import ANY
 from ..sources.scratch import Table
 from ..values import RelationError
-from .rules import Atom, Rule, Variable, check, derive, groups, is_recursive, strata, union_all
+from .rules import Atom, Constant, Rule, Variable, check, derive, groups, is_recursive, strata, union_all
 
 Stored = Mapping[str, DataFrame] | Callable[[str], DataFrame]
 
 
 class Evaluation:
-    """The relations of a rule set over stored facts; what isn't asked for isn't derived."""
+    """The relations of a rule set over stored facts; what isn't asked for isn't derived. computed: relations that are made as they are
+    scanned (functions.computed.Computed), by name; an atom's constants are their bound arguments."""
 
-    def __init__(self, rules: Iterable[Rule], stored: Stored):
+    def __init__(self, rules: Iterable[Rule], stored: Stored, computed: Mapping | None = None):
+        self.computed = computed or {}
         self.rules = list(rules)
         for r in self.rules:
             check(r)
@@ -38,6 +41,12 @@ class Evaluation:
             return None
         return None if df is None else positional(df)
 
+    def rows(self, atom: Atom) -> DataFrame:
+        """What an atom's relation holds, for a computed one as far as the atom asks for it."""
+        if atom.relation in self.computed:
+            return positional(self.computed[atom.relation].scan(*(t.value if isinstance(t, Constant) else ANY for t in atom.terms)))
+        return self.read(atom.relation)
+
     def read(self, name: str) -> DataFrame:
         """A relation: its stored facts and what the rules derive, with columns c0, c1, ..."""
         if name in self.done:
@@ -51,17 +60,17 @@ class Evaluation:
         group = self.groups[name]
         own = [r for r in self.rules if r.head.relation in group]
         if is_recursive(group, own):
-            self.done |= fixpoint(group, own, self.facts, self.read)
+            self.done |= fixpoint(group, own, self.facts, self.read, self.rows)
         else:
             facts = self.facts(name)
             like = None if facts is None else facts.schema
-            parts = [derive(r, lambda a: self.read(a.relation), like) for r in own]
+            parts = [derive(r, self.rows, like) for r in own]
             self.done[name] = union_all([*([] if facts is None else [facts]), *parts]).distinct()
         return self.done[name]
 
 
-def evaluate(rules: Iterable[Rule], stored: Stored, *targets: str) -> dict[str, DataFrame]:
-    run = Evaluation(rules, stored)
+def evaluate(rules: Iterable[Rule], stored: Stored, *targets: str, computed: Mapping | None = None) -> dict[str, DataFrame]:
+    run = Evaluation(rules, stored, computed)
     return {t: run.read(t) for t in targets}
 
 
@@ -70,15 +79,16 @@ def _fresh(candidates: DataFrame, known: DataFrame | None) -> DataFrame:
     return found if known is None else found.join(known, found.columns, "left_anti")
 
 
-def fixpoint(group: list[str], rules: list[Rule], facts: Callable[[str], DataFrame | None], read: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+def fixpoint(group: list[str], rules: list[Rule], facts: Callable[[str], DataFrame | None], read: Callable[[str], DataFrame], rows: Callable[[Atom], DataFrame] | None = None) -> dict[str, DataFrame]:
     """The least relations of a group that hold its facts and satisfy its rules."""
+    rows = rows or (lambda a: read(a.relation))
     inner = lambda r: [a for a in r.positive if a.relation in group]
     if (edges := _closure_of(group, rules)) and facts(group[0]) is None:
         return {group[0]: closure(read(edges))}
     seeds: dict[str, list[DataFrame]] = {h: [f] if (f := facts(h)) is not None else [] for h in group}
     for r in rules:
         if not inner(r):
-            seeds[r.head.relation].append(derive(r, lambda a: read(a.relation)))
+            seeds[r.head.relation].append(derive(r, rows))
     schemas = {h: union_all(s).schema for h, s in seeds.items() if s}
     spark = next(s[0] for s in seeds.values() if s).sparkSession if schemas else None
     waiting = [h for h in group if h not in schemas]
@@ -86,7 +96,7 @@ def fixpoint(group: list[str], rules: list[Rule], facts: Callable[[str], DataFra
         rule = next((r for r in rules if r.head.relation in waiting and all(a.relation in schemas for a in inner(r))), None)
         if rule is None:
             raise RelationError("E_RULE", f"{waiting[0]} has nothing to start from")
-        schemas[rule.head.relation] = derive(rule, lambda a: spark.createDataFrame([], schemas[a.relation]) if a.relation in group else read(a.relation)).schema
+        schemas[rule.head.relation] = derive(rule, lambda a: spark.createDataFrame([], schemas[a.relation]) if a.relation in group else rows(a)).schema
         waiting.remove(rule.head.relation)
     tables = {h: Table(spark, h.lower()) for h in group}
     new = {}
@@ -100,7 +110,7 @@ def fixpoint(group: list[str], rules: list[Rule], facts: Callable[[str], DataFra
         for r in rules:
             for at in inner(r):
                 if new[at.relation]:
-                    candidates[r.head.relation].append(derive(r, lambda a, at=at: delta[a.relation] if a is at else full[a.relation] if a.relation in group else read(a.relation), schemas[r.head.relation], first=at))
+                    candidates[r.head.relation].append(derive(r, lambda a, at=at: delta[a.relation] if a is at else full[a.relation] if a.relation in group else rows(a), schemas[r.head.relation], first=at))
         new = {h: tables[h].add(_fresh(union_all(c), full[h]) if c else spark.createDataFrame([], schemas[h])) for h, c in candidates.items()}
     return {h: t.read() for h, t in tables.items()}
 

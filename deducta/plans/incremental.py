@@ -308,3 +308,11 @@ class Maintained:
                 deltas[h] = d
                 self.relations[h].add(d)
         return {h: deltas[h] for g in self.order for h in g if h in deltas}
+
+
+def by_evaluation(rules: list[Rule], before: dict[str, DataFrame], after: dict[str, DataFrame], target: str, computed: dict | None = None) -> DataFrame:
+    """The settled changes of a derived relation by evaluating both states in full: for rules with computed atoms, which have no deltas."""
+    from .fixpoint import evaluate
+
+    old, new = (evaluate(rules, stored, target, computed=computed)[target] for stored in (before, after))
+    return delta(new.subtract(old), old.subtract(new))

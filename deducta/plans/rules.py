@@ -257,8 +257,9 @@ def scan(atom: Atom, df: DataFrame, weight: str | None = None) -> DataFrame:
     return own.select(*(F.col(f"c{i}").alias(f"v_{n}") for n, i in at.items()), *([F.col(weight)] if weight else []))
 
 
-def order(rule: Rule, first: Atom | None = None) -> list[Atom]:
-    """Positive atoms, each connected to those before it where that is possible, the most constrained first."""
+def order(rule: Rule, first: Atom | None = None, size: Callable[[Atom], int] | None = None) -> list[Atom]:
+    """Positive atoms, each connected to those before it where that is possible, the most constrained first; with a size for each atom
+    the one with the least estimate, where every bound term is taken to leave a tenth."""
     left = list(rule.positive)
     out: list[Atom] = []
     known: set[str] = set()
@@ -267,6 +268,13 @@ def order(rule: Rule, first: Atom | None = None) -> list[Atom]:
         out, known = [first], set(first.variables)
     constants = lambda a: sum(isinstance(t, Constant) for t in a.terms)
     while left:
+        if size is not None:
+            bound_terms = lambda a: len(a.variables & known) + constants(a)  # noqa: B023, E731
+            best = min(left, key=lambda a: (bool(out) and not a.variables & known, size(a) / 10 ** bound_terms(a), left.index(a)))
+            left.remove(best)
+            out.append(best)
+            known |= best.variables
+            continue
         best = max(left, key=lambda a: (bool(a.variables & known) or not out, len(a.variables & known) + constants(a), -left.index(a)))
         left.remove(best)
         out.append(best)
@@ -274,6 +282,11 @@ def order(rule: Rule, first: Atom | None = None) -> list[Atom]:
     return out
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of a plan's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _guarded(df: DataFrame, g: Guard) -> DataFrame:
     def side(t: Term):
         if isinstance(t, Variable):
@@ -299,9 +312,11 @@ def bindings(rule: Rule, read: Callable[[Atom], DataFrame], first: Atom | None =
     each atom. Guards and negations come as soon as their variables are bound."""
     guards, negatives = list(rule.guards), list(rule.negative)
     df: DataFrame | None = None
-    atoms = order(rule, first)
+    rows = {id(a): read(a) for a in rule.positive}  # atoms may be equal
+    estimates = {a: planned_bytes(rows[id(a)]) for a in rule.positive} if len(rule.positive) > 2 else None
+    atoms = order(rule, first, estimates.__getitem__ if estimates else None)
     for i, atom in enumerate(atoms):
-        own = scan(atom, read(atom))
+        own = scan(atom, rows[id(atom)])
         if df is None:
             df = own
         else:

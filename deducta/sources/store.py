@@ -191,6 +191,14 @@ class Store:
         """All relations with what the rules derive."""
         return Evaluation(self.catalog.active(), lambda n: self.read(n, version) if n in self.catalog.relations else None)
 
+    def settled(self, name: str, after: int, upto: int | None = None) -> DataFrame:
+        """op and the columns of what a relation gained and lost between two versions; one that rules derive is evaluated at both."""
+        upto = self.version if upto is None else upto
+        if not any(r.head.relation == name for r in self.catalog.active()):
+            return self.net_changes(name, after, upto).select("op", *self.relation(name).columns)
+        old, new = self.derived(after).read(name), self.derived(upto).read(name)
+        return new.subtract(old).select(F.lit("+").alias("op"), "*").union(old.subtract(new).select(F.lit("-").alias("op"), "*"))
+
     def since(self, version: int) -> list[dict]:
         """Manifests of the commits after a version."""
         return [self.manifest(v) for v in range(version + 1, self._last() + 1)]

@@ -87,7 +87,7 @@ def follow(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoi
 
 @dataclass
 class Subscription:
-    """A relation's facts, then its changes. terms: constants, Var or ANY for each position. allowed is asked before every poll."""
+    """A relation's facts, then its changes; of a relation that rules derive, what each poll's commits came to. terms: constants, Var or ANY for each position. allowed is asked before every poll."""
 
     store: Store
     relation: str
@@ -97,29 +97,40 @@ class Subscription:
     cursor: int | None = None
     closed: bool = False
 
+    @property
+    def _derived(self) -> bool:
+        return self.relation not in self.store.catalog.relations
+
+    def _fields(self) -> list[T.StructField]:
+        return self.store.derived().read(self.relation).schema.fields if self._derived else self.store.relation(self.relation).struct.fields
+
     def _match(self, df: DataFrame) -> DataFrame:
-        columns = self.store.relation(self.relation).columns
+        columns = self._fields()
         return bound(df, *(self.terms or [ANY] * len(columns)), *[ANY] * (len(df.columns) - len(columns)))
 
     def poll(self) -> DataFrame:
         """Rows op and the columns: at first the whole snapshot as asserts, later what was committed since. More changes than limit
         give one row with op resynchronize, and the next poll a snapshot; without authority one row revoked, then nothing."""
-        store, r = self.store, self.store.relation(self.relation)
-        version = store._last()
-        mark = lambda op: store.spark.createDataFrame([(op, *[None] * r.arity)], T.StructType([T.StructField("op", T.StringType()), *r.struct.fields]))
+        store, fields = self.store, self._fields()
+        names = [f.name for f in fields]
+        version = store.version = store._last()
+        mark = lambda op: store.spark.createDataFrame([(op, *[None] * len(fields))], T.StructType([T.StructField("op", T.StringType()), *(T.StructField(f.name, f.dataType) for f in fields)]))
         if self.closed:
             return mark(REVOKED).limit(0)
         if not self.allowed():
             self.closed = True
             return mark(REVOKED)
         if self.cursor is None:
-            out = self._match(store.read(self.relation, version)).select(F.lit("+").alias("op"), *r.columns)
+            out = self._match(store.derived(version).read(self.relation) if self._derived else store.read(self.relation, version)).select(F.lit("+").alias("op"), *names)
         else:
-            changes = self._match(store.changes(self.relation, self.cursor, version))
+            if self._derived:  # what the commits came to, op moved behind the columns
+                changes = self._match(store.settled(self.relation, self.cursor, version).select(*names, "op").withColumn("version", F.lit(version)))
+            else:
+                changes = self._match(store.changes(self.relation, self.cursor, version))
             if self.limit is not None and changes.limit(self.limit + 1).count() > self.limit:
                 self.cursor = None
                 return mark(RESYNCHRONIZE)
-            out = changes.orderBy("version").select("op", *r.columns)
+            out = changes.orderBy("version").select("op", *names)
         self.cursor = version
         return out
 

@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deducta import values as V
 from deducta.functions import computed as C
@@ -158,3 +159,47 @@ def test_dispatch_of_frobs_and_positions(spark):
     assert rows(found) == {(1, "n"), (1, "o"), (2, "p")}
     assert rows(D.ordered_arguments(frame([(2, "p")], "call int, method string"), params, args).selectExpr("call", "method", "array_join(args, ',')")) == {(2, "p", "5,6")}
     assert rows(D.programs(frame([(2, "p")], "call int, method string"), frame([("p", "code")], "method string, program string"))) == {(2, "p", "code")}
+
+
+def test_ranges_updates_and_truth(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first().x
+    v = F.array(F.lit(1), F.lit(2), F.lit(3))
+    assert get(S.list_slice(v, 1, 2)) == [2, 3] and get(S.list_slice(v, 0, 0)) == [1] and get(S.list_slice(v, 1)) == [2, 3] and get(S.list_slice(v, 3)) == []
+    for first, last in ((-2, -1), (2, 0), (0, 3), (4, None)):
+        with pytest.raises(Exception, match="E_INDEX"):
+            get(S.list_slice(v, first, last))
+    assert get(S.list_set(v, 1, 9)) == [1, 9, 3]
+    for at in (-1, 3):
+        with pytest.raises(Exception, match="E_INDEX"):
+            get(S.list_set(v, at, 9))
+    assert [get(S.truthy(c, t)) for c, t in ((F.lit(False), T.BooleanType()), (F.lit(0), T.LongType()), (F.lit(""), T.StringType()), (F.array(), T.ArrayType(T.LongType())), (v, T.ArrayType(T.LongType())))] == [False, True, True, False, True]
+
+
+def test_literals_and_urls(spark):
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first().x
+    assert get(S.from_literal(F.lit(" 12 "), "long")) == 12 and get(S.from_literal(F.lit('"a, b"'), "string")) == "a, b" and get(S.from_literal(F.lit("[1, 2]"), "array<long>")) == [1, 2]
+    assert get(S.from_literal(F.lit('{"a": 1}'), "map<string,long>")) == {"a": 1} and get(S.from_literal(F.lit(":open"), "symbol")) == "open" and get(S.from_literal(F.lit("#12"), "identity")) == 12
+    for text, kind in (('1, "x": 2', "long"), ("1 2", "long"), ("open", "symbol"), ("#x", "identity"), ('{"a": 1', "map<string,long>")):
+        with pytest.raises(Exception, match="E_TYPE"):
+            get(S.from_literal(F.lit(text), kind))
+    assert get(S.url_decode_component(F.lit("a%C3%A4+b"))) == "aä b" and get(S.url_decode_component(F.lit("%E2%82%AC%21"))) == "€!"
+    for bad in ("%FF", "%C3", "%zz", "a%2"):
+        with pytest.raises(Exception, match="E_TYPE"):
+            get(S.url_decode_component(F.lit(bad)))
+
+
+def test_text_embedding_counts_characters_by_place(spark):
+    texts = ["", "abc", "äöü€ x" * 50]
+    for text, got in spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.embed_text("t").alias("e")).collect():
+        counts = [sum((ord(c) + i) % 8 == b for i, c in enumerate(text)) for b in range(8)]
+        norm = sum(x * x for x in counts) ** 0.5 or 1
+        assert got == pytest.approx([x / norm for x in counts])
+
+
+def test_units_are_bounded_by_bytes_and_lines():
+    text = "\n".join(["short"] * 100 + ["ä" * 1500, "", "end"])
+    units = C.chunk_lines(text)
+    assert all(b - a < 40 and len(t.encode()) <= 1200 for a, b, t in units) and [u[0] for u in units[:3]] == [1, 41, 81]
+    assert "".join(t for _, _, t in units).replace("\n", "") == text.replace("\n", "")

@@ -97,3 +97,27 @@ def test_empty_recursion(spark):
     e = spark.createDataFrame([], "a long, b long")
     assert evaluate(parse("R(x, y) :- E(x, y)\nR(x, z) :- E(x, y), R(y, z)"), {"E": e}, "R")["R"].count() == 0
     assert fixpoint is not None
+
+
+def test_atoms_are_ordered_by_size():
+    from deducta.plans.rules import order, parse
+
+    (rule,) = parse("H(a, d) :- Big(a, b), Middle(b, c), Small(c, d)")
+    sizes = {"Big": 1 << 40, "Middle": 1 << 20, "Small": 100}
+    assert [a.relation for a in order(rule, None, lambda a: sizes[a.relation])] == ["Small", "Middle", "Big"]
+    assert [a.relation for a in order(rule, rule.positive[0], lambda a: sizes[a.relation])] == ["Big", "Middle", "Small"]
+
+
+def test_computed_atoms(spark):
+    from deducta.functions.computed import Computed
+    from deducta.plans import fixpoint
+    from deducta.plans.rules import parse
+
+    asked = []
+
+    def squares(given):
+        asked.append(given)
+        return spark.range(10).selectExpr("id n", "id * id m")
+
+    got = fixpoint.evaluate(parse("R(x, y) :- S(x), Square(x, y)\nF(y) :- Square(3, y)"), {"S": spark.range(2, 4)}, "R", "F", computed={"Square": Computed("Square", ("n", "m"), (), squares)})
+    assert {tuple(r) for r in got["R"].collect()} == {(2, 4), (3, 9)} and {tuple(r) for r in got["F"].collect()} == {(9,)} and {0: 3} in asked

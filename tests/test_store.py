@@ -225,3 +225,14 @@ def test_a_replica_folds_its_batches(spark, monkeypatch):
     for v in range(1, 8):
         replica.apply(spark.createDataFrame([(v, v, "+", v), (v - 1, v - 1, "-", v)], "a long, b long, op string, version long"))
     assert rows(replica.read()) == {(7, 7)} and len(replica.parts) <= 3
+
+
+def test_derived_relations_are_settled_and_followed(store, spark):
+    put(store, "Edge", pairs(spark, (1, 2)))
+    store.install("Reach(x, y) :- Edge(x, y)\nReach(x, z) :- Edge(x, y), Reach(y, z)")
+    mine = subscribe(store, "Reach", 1, ANY)
+    assert rows(mine.poll()) == {("+", 1, 2)}
+    put(store, "Edge", pairs(spark, (2, 3), (7, 8)))
+    assert rows(mine.poll()) == {("+", 1, 3)} and mine.poll().count() == 0
+    store.transact(lambda t: t.retract("Edge", pairs(spark, (1, 2))))
+    assert rows(store.settled("Reach", 2)) == {("-", 1, 2), ("-", 1, 3)} and rows(store.settled("Edge", 0, 2)) == {("+", 1, 2), ("+", 2, 3), ("+", 7, 8)}
