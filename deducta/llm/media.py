@@ -3,7 +3,9 @@
 The codec works on many frames at once: one step handles the same sample of every frame, so that Rice codes and
 linear predictors, which are sequential inside a frame, need no Python loop over samples times frames. Each frame's
 CRC-8 and CRC-16 and the stream's MD5 are verified; a seek table gives the sample and byte offset of every frame, so a
-part of a stream is read without what lies before it.
+part of a stream is read without what lies before it. Frames are coded and decoded in groups of BATCH_SAMPLES, over
+texts and within one, so what a task holds besides a text and its stream doesn't grow with the text; what is read back
+comes as PCM blocks, one for each frame, with their sample offsets.
 
 Defined results: a null or empty text is 192 blanks; equal texts give equal streams; a damaged stream raises ValueError
 from decode(), and from pcm_blocks() gives one row with its error instead of blocks; a null stream gives an error row.
@@ -22,8 +24,9 @@ from pyspark.sql import types as T
 
 from .common import arrow_schema, key_schema, table, text_or_empty
 
-#: Samples in a frame; payloads are multiples of UNIT bytes.
-BLOCK, UNIT = 1152, 192
+#: Samples in a frame, and in those of streams that would have more than MOST_SEEK frames (a seek table's length has 24 bits);
+#: payloads are multiples of UNIT bytes.
+BLOCK, LONG_BLOCK, UNIT, MOST_SEEK = 1152, 4608, 192, 900_000
 RATE = 8000
 #: Samples that are coded at once in a task.
 BATCH_SAMPLES = 4_000_000
@@ -119,19 +122,67 @@ def _lpc(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.clip(np.rint(a * 2.0**shift), -most - 1, most).astype(np.int32), shift.astype(np.int32)
 
 
+def _block_of(n: int) -> int:
+    return BLOCK if n <= BLOCK * MOST_SEEK else LONG_BLOCK
+
+
+def _pieces(lengths: list[int]):
+    """Groups of (payload, first sample, end) that hold BATCH_SAMPLES or so; a long payload is parted between frames."""
+    group, total = [], 0
+    for i, n in enumerate(lengths):
+        step = max(1, BATCH_SAMPLES // _block_of(n)) * _block_of(n)
+        for at in range(0, max(n, 1), step):
+            size = min(step, n - at)
+            if group and total + size > BATCH_SAMPLES:
+                yield group
+                group, total = [], 0
+            group.append((i, at, at + size))
+            total += size
+    if group:
+        yield group
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A FLAC stream for each payload; a payload's bytes are its samples, 128 being silence."""
-    lengths = np.array([len(p) for p in payloads], dtype=np.int64)
-    counts = -(-lengths // BLOCK)
+    bodies, sizes = [[] for _ in payloads], [[] for _ in payloads]
+    for group in _pieces([len(p) for p in payloads]):
+        blocks = [_block_of(len(payloads[i])) for i, _, _ in group]
+        found = _frames([payloads[i][a:b] for i, a, b in group], [a // block for (_, a, _), block in zip(group, blocks, strict=True)], blocks)
+        for (i, _, _), (body, frame_bytes) in zip(group, found, strict=True):
+            bodies[i].append(body)
+            sizes[i].append(frame_bytes)
+    out = []
+    for payload, body, own in zip(payloads, bodies, sizes, strict=True):
+        frame_bytes, step = np.concatenate(own), _block_of(len(payload))
+        low = int(min(frame_bytes, default=0)), int(max(frame_bytes, default=0))
+        block = step if len(frame_bytes) > 1 else max(16, len(payload))
+        digest = hashlib.md5()
+        for a in range(0, len(payload), BATCH_SAMPLES):
+            digest.update((np.frombuffer(payload[a : a + BATCH_SAMPLES], dtype=np.uint8) ^ 0x80).tobytes())
+        info = block.to_bytes(2, "big") * 2 + low[0].to_bytes(3, "big") + low[1].to_bytes(3, "big") + (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + digest.digest()
+        seek = np.zeros(len(frame_bytes), dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
+        number = np.arange(len(frame_bytes))
+        seek["sample"], seek["offset"], seek["n"] = number * step, np.cumsum(frame_bytes) - frame_bytes, np.minimum(step, len(payload) - number * step)
+        seek = seek.tobytes()
+        out.append(b"".join([b"fLaC\x00\x00\x00\x22", info, bytes([0x83]), len(seek).to_bytes(3, "big"), seek, *body]))
+    return out
+
+
+def _frames(payloads: list[bytes], firsts: list[int], blocks: list[int]) -> list[tuple[bytes, np.ndarray]]:
+    """The frames of pieces, each with the number of its first frame and its samples in a frame, and their sizes."""
+    lengths, step = np.array([len(p) for p in payloads], dtype=np.int64), np.array(blocks, dtype=np.int64)
+    counts = -(-lengths // step)
     of = np.repeat(np.arange(len(payloads)), counts)
-    number = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    size = np.minimum(BLOCK, lengths[of] - number * BLOCK)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    number, step = place + np.array(firsts, dtype=np.int64)[of], step[of]
+    size = np.minimum(step, lengths[of] - place * step)
     source = np.frombuffer(b"".join(payloads), dtype=np.uint8)
     first = np.cumsum(size) - size
     heads = []
     for n, s in zip(number.tolist(), size.tolist(), strict=True):
-        own = s != BLOCK
-        head = bytes([0xFF, 0xF8, (0b0111 if own else 0b0011) << 4 | 0b0100, 0b00000010]) + _frame_number(n) + ((s - 1).to_bytes(2, "big") if own else b"")
+        code = {BLOCK: 0b0011, LONG_BLOCK: 0b0101}.get(s, 0b0111)
+        own = code == 0b0111
+        head = bytes([0xFF, 0xF8, code << 4 | 0b0100, 0b00000010]) + _frame_number(n) + ((s - 1).to_bytes(2, "big") if own else b"")
         heads.append(head)
     head_sizes = np.array([len(h) + 1 for h in heads], dtype=np.int64)
     body_bits, plans = np.zeros(len(of), dtype=np.int64), []
@@ -206,18 +257,11 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     check = _crc_many(data, starts, frame_bytes - 2, 16)
     data[starts + frame_bytes - 2], data[starts + frame_bytes - 1] = (check >> 8).astype(np.uint8), (check & 0xFF).astype(np.uint8)
     out, done = [], 0
-    for i, payload in enumerate(payloads):
-        own = slice(done, done + int(counts[i]))
-        done = own.stop
-        low = int(min(frame_bytes[own], default=0)), int(max(frame_bytes[own], default=0))
-        block = BLOCK if counts[i] > 1 else max(16, len(payload))
-        signed = (np.frombuffer(payload, dtype=np.uint8) ^ 0x80).tobytes()
-        info = block.to_bytes(2, "big") * 2 + low[0].to_bytes(3, "big") + low[1].to_bytes(3, "big") + (RATE << 44 | 0 << 41 | 7 << 36 | len(payload)).to_bytes(8, "big") + hashlib.md5(signed).digest()
-        base = int(starts[own.start]) if counts[i] else 0
-        seek = np.zeros(int(counts[i]), dtype=[("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
-        seek["sample"], seek["offset"], seek["n"] = number[own] * BLOCK, starts[own] - base, size[own]
-        seek = seek.tobytes()
-        out.append(b"fLaC\x00\x00\x00\x22" + info + bytes([0x83]) + len(seek).to_bytes(3, "big") + seek + data[base : base + int(frame_bytes[own].sum())].tobytes())
+    for n in counts.tolist():
+        own = slice(done, done + n)
+        done += n
+        base = int(starts[own.start]) if n else 0
+        out.append((data[base : base + int(frame_bytes[own].sum())].tobytes(), frame_bytes[own]))
     return out
 
 
@@ -388,25 +432,58 @@ def _ones_in(v: np.ndarray) -> np.ndarray:
     return _POP[v] if int(v.max()) < 1 << 14 else _POP[v & 0x3FFF] + _POP[v >> 14]
 
 
-def decode_many(streams: list[bytes], verify: bool = True) -> list[bytes]:
-    """Payloads of whole streams."""
+def read_blocks(streams: list[bytes], verify: bool = True):
+    """PCM blocks of whole streams, in order: stream, block, first sample, bytes. A damaged stream raises ValueError, for its last block
+    at the latest."""
     heads = [Stream(s) for s in streams]
-    base = np.cumsum([0, *(len(s) for s in streams)])[:-1]
-    starts = [h.starts + b for h, b in zip(heads, base.tolist(), strict=True)]
-    sizes = [np.diff(np.append(s, b + len(h.data))) for s, h, b in zip(starts, heads, base.tolist(), strict=True)]
-    if any((x < 8).any() for x in sizes):
+    digests, total = [hashlib.md5() for _ in heads], [0] * len(heads)
+    group: list[tuple[int, int, int]] = []  # stream, first and last frame
+    ends = [np.append(h.starts[1:], len(h.data)) for h in heads]
+    if any((e - h.starts < 8).any() for h, e in zip(heads, ends, strict=True)):
         raise ValueError("a frame is cut off")
-    numbers = [np.arange(len(s)) for s in starts]
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-    frames = _decode_frames(np.frombuffer(b"".join(streams), dtype=np.uint8), join(starts), join(sizes), join(numbers), np.repeat([h.block for h in heads], [len(s) for s in starts]))
-    out, done = [], 0
-    for h, s in zip(heads, starts, strict=True):
-        samples = np.concatenate(frames[done : done + len(s)]) if len(s) else np.zeros(0, dtype=np.int64)
-        done += len(s)
-        if len(samples) != h.total or verify and any(h.md5) and hashlib.md5(samples.astype(np.int8).tobytes()).digest() != h.md5:
+
+    def decoded():
+        parts, at, starts, sizes, numbers, blocks = [], 0, [], [], [], []
+        for i, a, b in group:
+            h = heads[i]
+            parts.append(h.data[int(h.starts[a]) : int(ends[i][b - 1])])
+            starts.append(h.starts[a:b] - h.starts[a] + at)
+            sizes.append(ends[i][a:b] - h.starts[a:b])
+            numbers.append(np.arange(a, b))
+            blocks.append(np.full(b - a, h.block))
+            at += len(parts[-1])
+        frames = iter(_decode_frames(np.frombuffer(b"".join(parts), dtype=np.uint8), *map(np.concatenate, (starts, sizes, numbers, blocks))))
+        for i, a, b in group:
+            for n in range(a, b):
+                samples = next(frames)
+                digests[i].update(samples.astype(np.int8).tobytes())
+                first, total[i] = total[i], total[i] + len(samples)
+                if n == len(heads[i].starts) - 1 and (total[i] != heads[i].total or verify and any(heads[i].md5) and digests[i].digest() != heads[i].md5):
+                    raise ValueError("a stream's samples are not those that were written")
+                yield i, n, first, (samples + 128).astype(np.uint8).tobytes()
+
+    held = 0
+    for i, h in enumerate(heads):
+        if not len(h.starts) and h.total:
             raise ValueError("a stream's samples are not those that were written")
-        out.append((samples + 128).astype(np.uint8).tobytes())
-    return out
+        step = max(1, BATCH_SAMPLES // max(1, h.block))
+        for a in range(0, len(h.starts), step):
+            b = min(a + step, len(h.starts))
+            if group and held + (b - a) * h.block > BATCH_SAMPLES:
+                yield from decoded()
+                group, held = [], 0
+            group.append((i, a, b))
+            held += (b - a) * h.block
+    if group:
+        yield from decoded()
+
+
+def decode_many(streams: list[bytes], verify: bool = True) -> list[bytes]:
+    """Payloads of whole streams."""
+    out: list[list[bytes]] = [[] for _ in streams]
+    for i, _, _, pcm in read_blocks(streams, verify):
+        out[i].append(pcm)
+    return [b"".join(x) for x in out]
 
 
 def decode(stream: bytes) -> bytes:
@@ -477,6 +554,10 @@ def encode_column(df: DataFrame, text: str = "text", media: str = "media") -> Da
     return df.select(*(F.col(f"`{k}`") for k in keys), text_or_empty(f"`{text}`").alias("__body")).mapInArrow(run, schema)
 
 
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 def pcm_blocks(df: DataFrame, media: str = "media") -> DataFrame:
     """One row for each frame of each stream: keys, block int, first_sample long, n_samples int, pcm binary, error string."""
     keys = [c for c in df.columns if c != media]
@@ -487,25 +568,50 @@ def pcm_blocks(df: DataFrame, media: str = "media") -> DataFrame:
         for batch in batches:
             column = batch.column(media)
             for i in range(batch.num_rows):
-                own, rows = [batch.column(k)[i].as_py() for k in keys], []
+                own, rows, size = [batch.column(k)[i].as_py() for k in keys], [], 0
                 try:
                     data = column[i].as_py()
                     if data is None:
                         raise ValueError("no stream")
-                    pcm, step = decode(data), Stream(data).block
-                    rows = [(*own, b, b * step, len(x), x, None) for b, x in enumerate(pcm[o : o + step] for o in range(0, len(pcm), step))]
+                    for _ in read_blocks([data]):  # a damaged stream has no blocks, so all of it is checked first
+                        pass
+                    for _, n, first, pcm in read_blocks([data]):
+                        rows.append((*own, n, first, len(pcm), pcm, None))
+                        size += len(pcm)
+                        if size > BATCH_SAMPLES:
+                            yield _batch(rows, arrow)
+                            rows, size = [], 0
                 except (ValueError, IndexError) as e:
                     rows = [(*own, None, None, None, None, str(e))]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                    yield _batch(rows, arrow)
 
     return df.mapInArrow(run, schema)
 
 
+class Summary:
+    """Of PCM blocks in order: size, digest, and features (peak, zero crossings, energy and sum of samples) as exact integers."""
+
+    def __init__(self):
+        self.size, self.sha, self.peak, self.crossings, self.energy, self.sum, self.last = 0, hashlib.sha256(), 0, 0, 0, 0, None
+
+    def add(self, pcm: bytes) -> None:
+        x = np.frombuffer(pcm, dtype=np.uint8).astype(np.int64) - 128
+        below = x < 0
+        self.size += len(pcm)
+        self.sha.update(pcm)
+        self.peak, self.energy, self.sum = max(self.peak, int(np.abs(x).max(initial=0))), self.energy + int((x * x).sum()), self.sum + int(x.sum())
+        self.crossings += int((below[1:] != below[:-1]).sum()) + (self.last is not None and len(x) > 0 and self.last != below[0])
+        self.last = bool(below[-1]) if len(x) else self.last
+
+    def features(self) -> str:
+        return f"peak={self.peak} crossings={int(self.crossings)} energy={self.energy} sum={self.sum}"
+
+
 def features(pcm: bytes) -> str:
-    """Peak, zero crossings, energy and mean of samples, as exact integers."""
-    x = np.frombuffer(pcm, dtype=np.uint8).astype(np.int64) - 128
-    return f"peak={int(np.abs(x).max(initial=0))} crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())} energy={int((x * x).sum())} sum={int(x.sum())}"
+    out = Summary()
+    out.add(pcm)
+    return out.features()
 
 
 def describe(df: DataFrame, media: str = "media") -> DataFrame:
@@ -519,9 +625,19 @@ def describe(df: DataFrame, media: str = "media") -> DataFrame:
             streams = batch.column(media).to_pylist()
             for i, j in _grouped(streams, len):
                 part = streams[i:j]
-                payloads = decode_many(part)
-                tails = seek_many(part, [len(p) - 16 for p in payloads], 16)
-                rows = [(len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(tail), len(s), hashlib.sha256(s).hexdigest(), features(p)) for s, p, tail in zip(part, payloads, tails, strict=True)]
+                found = [Summary() for _ in part]
+                held, size = [[] for _ in part], 0
+                for k, _, _, pcm in read_blocks(part):  # blocks of a stream are summed up together, as far as a batch goes
+                    held[k].append(pcm)
+                    size += len(pcm)
+                    if size > BATCH_SAMPLES:
+                        for own, f in zip(held, found, strict=True):
+                            f.add(b"".join(own))
+                        held, size = [[] for _ in part], 0
+                for own, f in zip(held, found, strict=True):
+                    f.add(b"".join(own))
+                tails = seek_many(part, [f.size - 16 for f in found], 16)
+                rows = [(f.size, f.sha.hexdigest(), zlib.crc32(tail), len(s), hashlib.sha256(s).hexdigest(), f.features()) for s, f, tail in zip(part, found, tails, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in keys), *(pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), list(arrow)[-6:], strict=True))], schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -87,3 +87,23 @@ def test_columns(spark):
     broken = spark.createDataFrame([(1, bytearray(b"junk")), (2, None)], "doc_id long, media binary")
     assert all(r.error for r in M.pcm_blocks(broken).collect())
     assert M.describe(M.encode_column(df.limit(0))).count() == 0
+
+
+def test_streams_do_not_depend_on_groups_of_frames(monkeypatch, spark):
+    own = [*payloads(), M.pad(b"a long text " * 200_000), b""]
+    streams = M.encode(own)
+    found = M.describe(spark.createDataFrame([(i, s) for i, s in enumerate(map(bytearray, streams))], "i long, media binary")).orderBy("i").collect()
+    assert [(r.payload_bytes, r.feature) for r in found] == [(len(p), M.features(p)) for p in own]
+    for size in (1152, 3000, 20_000):
+        monkeypatch.setattr(M, "BATCH_SAMPLES", size)
+        assert M.encode(own[:-2]) == streams[:-2] and M.decode_many(streams[:-2]) == own[:-2]
+    blocks = [(i, n, first, len(x)) for i, n, first, x in M.read_blocks(streams[:3])]
+    assert blocks == [(i, n, n * 1152, min(1152, len(own[i]) - n * 1152)) for i in range(3) for n in range(-(-len(own[i]) // 1152))]
+
+
+def test_very_long_streams_have_longer_frames(monkeypatch):
+    monkeypatch.setattr(M, "MOST_SEEK", 3)
+    own = payloads()
+    streams = M.encode(own)
+    assert M.decode_many(streams) == own and {M.Stream(s).block for s in streams} >= {1152, 4608}
+    assert all(M.seek(s, 1100, 2000) == p[1100:3100] for p, s in zip(own, streams, strict=True))
