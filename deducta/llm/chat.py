@@ -3,7 +3,9 @@
 A turn is `<|im_start|>role`, a line end, its content, `<|im_end|>` and a line end. Inside contents every `<`, any
 number of backslashes and `|` get one more backslash, which undoes; so a text never holds a control string. Parts that
 are not text become `<|kind:n|>`, n counting a conversation's attachments from 0; their references and expanded token
-counts are recorded. The loss mask covers the texts of assistant turns, and nothing else.
+counts are recorded. The loss mask covers the texts of assistant turns, and nothing else; its spans are places in a
+conversation's whole output, the turns joined. Reading back goes by that output: turns are found by the control strings in
+it, and the mask is cut from it, whatever rows it came in.
 
 A conversation is streamed turn by turn in its partition: memory holds one turn, however long a conversation is.
 
@@ -106,27 +108,27 @@ def in_order(df: DataFrame, conv: str, by: list[str]) -> DataFrame:
 
 
 def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None) -> DataFrame:
-    """The formatted output, a row for each turn in order: conv_id, seq long, formatted string, loss_start int, loss_end int
-    (code points in formatted; equal where nothing is under the loss mask), attachments array. parts: a column of typed
+    """The formatted output, a row for each turn in order: conv_id, seq long, formatted string, loss_start long, loss_end long
+    (code points in the conversation's joined output; equal where nothing is under the loss mask), attachments array. parts: a column of typed
     parts; without it a turn is its text."""
-    schema = T.StructType([T.StructField("conv_id", df.schema[conv].dataType), *T._parse_datatype_string("seq long, formatted string, loss_start int, loss_end int, attachments array<struct<n:int,kind:string,ref:string,tokens:long>>").fields])
+    schema = T.StructType([T.StructField("conv_id", df.schema[conv].dataType), *T._parse_datatype_string("seq long, formatted string, loss_start long, loss_end long, attachments array<struct<n:int,kind:string,ref:string,tokens:long>>").fields])
     arrow = arrow_schema(schema)
     body = F.col(f"`{parts}`").cast(f"array<{PART}>") if parts else F.lit(None).cast(f"array<{PART}>")
     rows = df.select(F.col(f"`{conv}`").alias("c"), F.col(f"`{turn}`").alias("t"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("r"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("x"), body.alias("p"))
 
     def run(batches):
-        last, seq, attached = object(), 0, 0
+        last, seq, attached, at = object(), 0, 0, 0
         for batch in batches:
             out = []
             for c, r, x, p in zip(*(batch.column(n).to_pylist() for n in ("c", "r", "x", "p")), strict=True):
                 if c != last:
-                    last, seq, attached = c, 0, 0
+                    last, seq, attached, at = c, 0, 0, 0
                 own = [{"kind": "text", "text": x}] if p is None else [q for q in p if q is not None]
                 formatted, (start, end), found = format_turn(r, own, attached)
                 if r != "assistant":
                     end = start
-                out.append((c, seq, formatted, start, end, [dict(zip(("n", "kind", "ref", "tokens"), a, strict=True)) for a in found]))
-                seq, attached = seq + 1, attached + len(found)
+                out.append((c, seq, formatted, at + start, at + end, [dict(zip(("n", "kind", "ref", "tokens"), a, strict=True)) for a in found]))
+                seq, attached, at = seq + 1, attached + len(found), at + len(formatted)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
 
@@ -158,19 +160,37 @@ def read_back(formatted: DataFrame, make: Callable[[], object], schema: str) ->
 
 
 class Digest:
-    """What a trainer would see of a conversation, read back from its formatted text and mask."""
+    """What a trainer would see of a conversation, read back from its output and mask. It comes in pieces of any size."""
 
     def __init__(self):
         self.turns, self.loss, self.n, self.chars, self.loss_chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        self.text, self.spans = "", []  # what isn't parsed yet, which begins at place chars; spans of the mask in it
 
     def add(self, text: str, start: int, end: int) -> None:
+        if start < end:
+            self.spans.append((start, end))
+        seen = max(0, len(self.text) - len(END))
+        self.text += text
+        while (at := self.text.find(END, seen)) >= 0:
+            self._turn(self.text[: at + len(END)])
+            self.text, seen = self.text[at + len(END) :], 0
+
+    def _turn(self, text: str) -> None:
         role, content = parse_turn(text)
         self.turns.update(f"{role}\n{content}\n".encode("utf-8", "surrogatepass"))
-        masked = unescape(text[start:end])
-        self.loss.update(masked.encode("utf-8", "surrogatepass"))
-        self.n, self.chars, self.loss_chars = self.n + 1, self.chars + len(text), self.loss_chars + len(masked)
+        end = self.chars + len(text)
+        while self.spans and self.spans[0][0] < end:
+            a, b = self.spans.pop(0)
+            if b > end:
+                raise ValueError("the mask goes on beyond a turn")
+            masked = unescape(text[a - self.chars : b - self.chars])
+            self.loss.update(masked.encode("utf-8", "surrogatepass"))
+            self.loss_chars += len(masked)
+        self.n, self.chars = self.n + 1, end
 
     def result(self) -> tuple:
+        if self.text or self.spans:
+            raise ValueError("the output ends inside a turn")
         return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 

@@ -76,10 +76,11 @@ def url_tokens(host: str, path: str) -> set[str]:
 
 def token_counts(urls: DataFrame, rules: tuple[Rule, ...], url: str) -> dict[str, int]:
     """Of how many URLs each literal of the rules is a token; no more rows than the rules have literals."""
-    wanted = sorted({t for r in rules for t in r.literals})
+    spark = urls.sparkSession
+    wanted = spark.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.literals})], "token string")  # as many as the rules have literals, so it is sent
     body = F.regexp_extract(F.col(f"`{url}`"), r"(?s)^.*?://([^?#]*)", 1)
-    held = urls.select(F.explode(F.array_intersect(F.array(*[F.lit(t) for t in wanted]), F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit("([a-z0-9-]+)"), 1)))).alias("token"))
-    return {r.token: r["count"] for r in held.groupBy("token").count().collect()}
+    held = urls.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(body), F.lit("([a-z0-9-]+)"), 1))).alias("token"))
+    return {r.token: r["count"] for r in held.join(F.broadcast(wanted), "token").groupBy("token").count().collect()}
 
 
 def build_index(rules: tuple[Rule, ...], counts: dict[str, int]) -> dict[str | None, list[int]]:
@@ -96,19 +97,26 @@ def judge(urls: DataFrame, rules: tuple[Rule, ...], url: str = "url", default: s
     keys = [c for c in urls.columns if c not in (url, "host", "path", "rule", "verdict")]
     index = build_index(rules, token_counts(urls, rules, url) if any(len(r.literals) > 1 for r in rules) else {})
     order = sorted(range(len(rules)), key=lambda i: (rules[i].name is None, -rules[i].weight, i))
-    place = {i: n for n, i in enumerate(order)}
     schema = T.StructType([*key_schema(urls, keys), T.StructField(url, T.StringType()), *T._parse_datatype_string("host string, path string, rule string, verdict string").fields])
     arrow = arrow_schema(schema)
+    shipped = urls.sparkSession.sparkContext.broadcast((rules, index, {i: n for n, i in enumerate(order)}))
 
     def run(batches):
-        compiled = [re.compile(r.pattern) for r in rules]
+        rules, index, place = shipped.value
+        compiled: dict[int, re.Pattern] = {}  # a rule is compiled when a URL first fetches it
+
+        def fits(i: int, body: str) -> bool:
+            if i not in compiled:
+                compiled[i] = re.compile(rules[i].pattern)
+            return bool(compiled[i].match(body))
+
         always = index.get(None, [])
         for batch in batches:
             out = []
             for value in batch.column(url).to_pylist():
                 host, path = split_url(value)
                 fetched = {i for t in url_tokens(host, path) for i in index.get(t, ())}
-                best = next((i for i in sorted((*fetched, *always), key=place.__getitem__) if compiled[i].match(host + path)), None) if host else None
+                best = next((i for i in sorted((*fetched, *always), key=place.__getitem__) if fits(i, host + path)), None) if host else None
                 out.append((host, path, rules[best].name if best is not None else None, rules[best].verdict if best is not None else default))
             if out:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), batch.column(url), *(pa.array(c, type=pa.string()) for c in zip(*out, strict=True))], schema=arrow)
