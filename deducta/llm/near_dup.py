@@ -244,7 +244,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     rest = second_round(members, lists, nodes, components(links))
     found = components(links.union(rest))
     named = nodes.join(found, nodes.tid == found.node, "left").select("tid", "first_id", F.coalesce("component", "tid").alias("component"))
-    classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    # staged, so that the join is a plain one and Spark can split the rows of a large component
+    named = staged(named, "named")
+    classes = staged(named.groupBy("component").agg(F.min("first_id").alias("class_id")), "classes")
     return named.join(classes, "component").select("tid", "first_id", "class_id")
 
 

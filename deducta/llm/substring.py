@@ -238,7 +238,8 @@ def repeats(docs: DataFrame, profiled: DataFrame, firsts: DataFrame, key: str =
 
 def _prepared(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     profiled = staged(profile(docs, key, text), "profiles")
-    firsts = profiled.groupBy("tid").agg(F.min("id").alias("first_id"))
+    # staged, so that joins with it are plain ones and Spark can split the rows of a text with very many copies
+    firsts = staged(profiled.groupBy("tid").agg(F.min("id").alias("first_id")), "firsts")
     return profiled, firsts, *repeats(docs, profiled, firsts, key, text)
 
 
