@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -435,6 +436,15 @@ def _ones_in(v: np.ndarray) -> np.ndarray:
 def read_blocks(streams: list[bytes], verify: bool = True):
     """PCM blocks of whole streams, in order: stream, block, first sample, bytes. A damaged stream raises ValueError, for its last block
     at the latest."""
+    for i, n, first, sizes, pcm in read_runs(streams, verify):
+        at = 0
+        for k, size in enumerate(sizes):
+            yield i, n + k, first + at, pcm[at : at + size]
+            at += size
+
+
+def read_runs(streams: list[bytes], verify: bool = True):
+    """Runs of PCM blocks of whole streams: stream, first block, first sample, the blocks' sizes, bytes of all."""
     heads = [Stream(s) for s in streams]
     digests, total = [hashlib.md5() for _ in heads], [0] * len(heads)
     group: list[tuple[int, int, int]] = []  # stream, first and last frame
@@ -454,13 +464,13 @@ def read_blocks(streams: list[bytes], verify: bool = True):
             at += len(parts[-1])
         frames = iter(_decode_frames(np.frombuffer(b"".join(parts), dtype=np.uint8), *map(np.concatenate, (starts, sizes, numbers, blocks))))
         for i, a, b in group:
-            for n in range(a, b):
-                samples = next(frames)
-                digests[i].update(samples.astype(np.int8).tobytes())
-                first, total[i] = total[i], total[i] + len(samples)
-                if n == len(heads[i].starts) - 1 and (total[i] != heads[i].total or verify and any(heads[i].md5) and digests[i].digest() != heads[i].md5):
-                    raise ValueError("a stream's samples are not those that were written")
-                yield i, n, first, (samples + 128).astype(np.uint8).tobytes()
+            own = list(islice(frames, b - a))
+            samples = np.concatenate(own).astype(np.int8)
+            digests[i].update(samples.tobytes())
+            first, total[i] = total[i], total[i] + len(samples)
+            if b == len(heads[i].starts) and (total[i] != heads[i].total or verify and any(heads[i].md5) and digests[i].digest() != heads[i].md5):
+                raise ValueError("a stream's samples are not those that were written")
+            yield i, a, first, [len(x) for x in own], (samples.view(np.uint8) ^ 0x80).tobytes()
 
     held = 0
     for i, h in enumerate(heads):
@@ -481,7 +491,7 @@ def read_blocks(streams: list[bytes], verify: bool = True):
 def decode_many(streams: list[bytes], verify: bool = True) -> list[bytes]:
     """Payloads of whole streams."""
     out: list[list[bytes]] = [[] for _ in streams]
-    for i, _, _, pcm in read_blocks(streams, verify):
+    for i, _, _, _, pcm in read_runs(streams, verify):
         out[i].append(pcm)
     return [b"".join(x) for x in out]
 
@@ -626,16 +636,8 @@ def describe(df: DataFrame, media: str = "media") -> DataFrame:
             for i, j in _grouped(streams, len):
                 part = streams[i:j]
                 found = [Summary() for _ in part]
-                held, size = [[] for _ in part], 0
-                for k, _, _, pcm in read_blocks(part):  # blocks of a stream are summed up together, as far as a batch goes
-                    held[k].append(pcm)
-                    size += len(pcm)
-                    if size > BATCH_SAMPLES:
-                        for own, f in zip(held, found, strict=True):
-                            f.add(b"".join(own))
-                        held, size = [[] for _ in part], 0
-                for own, f in zip(held, found, strict=True):
-                    f.add(b"".join(own))
+                for k, _, _, _, pcm in read_runs(part):
+                    found[k].add(pcm)
                 tails = seek_many(part, [f.size - 16 for f in found], 16)
                 rows = [(f.size, f.sha.hexdigest(), zlib.crc32(tail), len(s), hashlib.sha256(s).hexdigest(), f.features()) for s, f, tail in zip(part, found, tails, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in keys), *(pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), list(arrow)[-6:], strict=True))], schema=arrow)
