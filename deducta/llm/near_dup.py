@@ -202,9 +202,10 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while before[0]:
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # the minima are staged, so that the joins are plain ones and Spark can split the rows of a node with many links
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = staged(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
+        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         edges = staged(small.coalesce(1 + before[0] // LINKS_PER_TASK), "links")
         after = mark(edges)
