@@ -22,8 +22,6 @@ learn from every probability is 1; repeated rows are scored each, and learned fr
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +34,21 @@ BLOCK_CHARS = 16_000_000
 PARENTS, PER_PARENT = 256, 1 << 40
 ROUNDS, BURN_IN, SAMPLES = 2, 2, 3
 STRENGTH = (1.0, 1.0, 1.0)  # of the root, parents and contexts
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Scores of tokens travel as whole millionths.
 UNIT = 1e6
 
 
-def context_of(word: bytes) -> int:
-    """The context that a word is for the next; the empty word is a text's start."""
+def contexts_of(words: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """The contexts that words of these sizes are for the next; the empty word is a text's start."""
     import xxhash
 
-    return (word[-1] if word else 0) * PER_PARENT + xxhash.xxh3_64_intdigest(word) % PER_PARENT
+    last = np.where(sizes > 0, np.frombuffer(b"\0" + b"".join(words), dtype=np.uint8)[np.cumsum(sizes)], 0).astype(np.int64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    return last * PER_PARENT + (hashes % np.uint64(PER_PARENT)).astype(np.int64)
+
+
+def context_of(word: bytes) -> int:
+    return int(contexts_of([word], np.array([len(word)]))[0])
 
 
 def reseat(customers: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
@@ -92,13 +95,15 @@ class Totals:
 
 class Seating:
     """The words of a bucket: counts by word and context, sorted, and tables at each level. ids: the contexts, sorted, with those that
-    are only asked for."""
+    are only asked for; at: where in ids those of counts are."""
 
-    def __init__(self, words: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, ids: np.ndarray | None = None):
+    def __init__(self, words: int, word: np.ndarray, context: np.ndarray, count: np.ndarray, ids: np.ndarray | None = None, at: np.ndarray | None = None):
         self.n, self.word, self.count = words, word, count
         self.ids = np.unique(context) if ids is None else ids
-        self.at = np.searchsorted(self.ids, context)
-        pairs, self.up = np.unique(word * PARENTS + context // PER_PARENT, return_inverse=True)
+        self.at = np.searchsorted(self.ids, context) if at is None else at
+        pairs = word * PARENTS + context // PER_PARENT  # sorted as well
+        new = np.diff(pairs, prepend=-1) > 0
+        pairs, self.up = pairs[new], np.cumsum(new) - 1
         self.word1, self.parent = pairs // PARENTS, pairs % PARENTS
         self.tables = np.ones(len(word), dtype=np.int64)
         self.lift()
@@ -197,24 +202,26 @@ def _split(docs: DataFrame, keys: list[str], text: str, train: str, n_buckets: i
             rank[order] = np.arange(len(codes))
             words = list(codes)
             words = [words[i] for i in order.tolist()]
+            lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
             tokens = rank[tokens]
-            contexts = np.array([context_of(w) for w in words], dtype=np.int64)
             pairs, inverse = np.unique(_pairs(tokens, len(words)), return_inverse=True)
             counts = np.bincount(inverse, weights=np.repeat([t for _, t, _ in rows], sizes), minlength=len(pairs)).astype(np.int64)
-            per_word = np.bincount(pairs // len(words), minlength=len(words))
+            after = pairs // len(words)
+            contexts = contexts_of(words, lengths)[pairs - after * len(words)]
+            per_word = np.bincount(after, minlength=len(words))
             firsts = np.cumsum(per_word) - per_word
-            of = np.fromiter((xxhash.xxh32_intdigest(w) % n_buckets for w in words), dtype=np.int64, count=len(words))
+            of = np.fromiter(map(xxhash.xxh32_intdigest, words), dtype=np.int64, count=len(words)) % n_buckets
             by = np.argsort(of, kind="stable")
             cuts = np.searchsorted(of[by], np.arange(n_buckets + 1))
             ends = np.cumsum(sizes)
             out = [(block, None, *key, t, pack(tokens[e - n : e]), None, None) for (key, t, _), e, n in zip(rows, ends.tolist(), sizes.tolist(), strict=True)]
             for b in np.unique(of):
                 slots = by[cuts[b] : cuts[b + 1]]
-                own = [words[i] for i in slots]
+                own = [words[i] for i in slots.tolist()]
                 n = per_word[slots]
                 at = np.repeat(firsts[slots] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                ids, of_ids = np.unique(contexts[pairs[at] % len(words)], return_inverse=True)
-                out.append((block, int(b), *[None] * len(keys), None, pack_all(np.array([len(w) for w in own]), n, of_ids, counts[at], np.diff(ids, prepend=0)), pack_bytes(b"".join(own)), pack(np.diff(slots, prepend=0))))
+                ids, of_ids = np.unique(contexts[at], return_inverse=True)
+                out.append((block, int(b), *[None] * len(keys), None, pack_all(lengths[slots], n, of_ids, counts[at], np.diff(ids, prepend=0)), pack_bytes(b"".join(own)), pack(np.diff(slots, prepend=0))))
             for i in range(0, len(out), 4096):
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out[i : i + 4096], strict=True), arrow, strict=True)], schema=arrow)
 
@@ -226,9 +233,9 @@ def _split(docs: DataFrame, keys: list[str], text: str, train: str, n_buckets: i
                     yield from flush()
                     block, chars, codes, rows = block + 1, 0, Codes(), []
                 chars += len(body)
-                found = _WORD.findall(body.lower())
+                found = body.lower().split()  # at bytes 32 and 9 to 13
                 found.append(b"")  # the end
-                rows.append((tuple(batch.column(k)[i].as_py() for k in keys), bool(train_[i].as_py()), np.array(list(map(codes.__getitem__, found)), dtype=np.int32)))
+                rows.append((tuple(batch.column(k)[i].as_py() for k in keys), bool(train_[i].as_py()), np.fromiter(map(codes.__getitem__, found), dtype=np.int32, count=len(found))))
         if rows:
             yield from flush()
 
@@ -244,34 +251,57 @@ def _pairs(tokens: np.ndarray, words: int) -> np.ndarray:
 
 
 def _merge(group: pa.Table) -> tuple[bytes, list]:
-    """A bucket's words and counts, and what each block asks for."""
+    """A bucket's words with their contexts and counts (0: only asked for), and what each block asks for: words, and which of their
+    contexts."""
     order = np.argsort(group.column("block").to_numpy(), kind="stable")
     rows = list(zip(*(group.column(c).to_pylist() for c in ("block", "data", "words", "slots")), strict=True))
     index, found = Codes(), []
     for i in order.tolist():
         block, data, words, slots = rows[i]
         sizes, n, context, count, ids = (x.astype(np.int64) for x in unpack_all(data))
-        flat, at, mine = unpack_bytes(words), 0, np.empty(len(sizes), dtype=np.int64)
-        for k, size in enumerate(sizes.tolist()):
-            mine[k] = index[flat[at : at + size]]
-            at += size
-        found.append((block, mine, n, context, count, np.cumsum(ids), slots))
+        flat, ends = unpack_bytes(words), np.cumsum(sizes)
+        cut = (flat[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+        found.append((block, np.fromiter(map(index.__getitem__, cut), dtype=np.int64, count=len(sizes)), n, context, count, np.cumsum(ids), slots))
     ids = np.unique(np.concatenate([f[5] for f in found]))
-    asked, keys, counts = [], [], []
-    for block, mine, n, context, count, own, slots in found:
-        at = np.searchsorted(ids, own)[context]
-        keys.append((np.repeat(mine, n) * len(ids) + at)[count > 0])
-        counts.append(count[count > 0])
-        asked.append((block, pack_all(mine, n, at), slots))
+    keys = [np.repeat(mine, n) * len(ids) + np.searchsorted(ids, own)[context] for _, mine, n, context, _, own, _ in found]
     pairs, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.int64)
-    return pack_all(np.array([len(index)]), np.diff(pairs // len(ids), prepend=0), pairs % len(ids), total, np.diff(ids, prepend=0)), asked
+    total = np.bincount(inverse, weights=np.concatenate([f[4] for f in found]), minlength=len(pairs)).astype(np.int64)
+    word = pairs // len(ids)
+    firsts = np.searchsorted(word, np.arange(len(index)))
+    asked, end = [], 0
+    for block, mine, n, context, _, _, slots in found:
+        end += len(context)
+        asked.append((block, pack_all(mine, n, inverse[end - len(context) : end] - np.repeat(firsts[mine], n)), slots))
+    return pack_all(np.array([len(index)]), np.diff(word, prepend=0), pairs - word * len(ids), total, np.diff(ids, prepend=0)), asked
+
+
+def _entries(model: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words; words, contexts and counts of all entries, and the numbers of contexts."""
+    n, word, context, count, ids = (x.astype(np.int64) for x in unpack_all(model))
+    return int(n[0]), np.cumsum(word), context, count, np.cumsum(ids)
 
 
 def _seating(model: bytes) -> Seating:
-    n, word, context, count, ids = (x.astype(np.int64) for x in unpack_all(model))
-    ids = np.cumsum(ids)
-    return Seating(int(n[0]), np.cumsum(word), ids[context], count, ids)
+    n, word, context, count, ids = _entries(model)
+    seen = count > 0
+    at = context[seen]
+    return Seating(n, word[seen], ids[at], count[seen], ids, at)
+
+
+def _answers(seating: Seating, model: bytes, asked: list[tuple], each: list[Totals], kept: list[tuple], discounts, base: float) -> list[tuple]:
+    """Scores for the blocks that asked. However many blocks ask for an entry, it is predicted once for each sample."""
+    words, word, context, count, ids = _entries(model)
+    places, total = seating.find(word, ids[context]), 0
+    for t, tables in zip(each, kept, strict=True):
+        seating.put(*tables)
+        total = total + seating.predict_at(t, discounts, base, places)
+    scores = np.rint(np.clip(-np.log10(total / len(each)), 0, 300) * UNIT).astype(np.int64)
+    known = np.bincount(word, weights=count, minlength=words).astype(np.int64)
+    firsts, out = np.searchsorted(word, np.arange(words)), []
+    for block, data, slots in asked:
+        mine, n, which = (x.astype(np.int64) for x in unpack_all(data))
+        out.append((block, pack_all(known[mine], n, scores[np.repeat(firsts[mine], n) + which]), slots))
+    return out
 
 
 #: What a bucket gives out in a round: sums that all get (parents and root, at a place), parts of contexts' totals for the bucket that
@@ -439,15 +469,8 @@ def score(docs: DataFrame, train: str, keys: list[str], text: str = "text", bloc
             each = _answered(seating, replies, n_buckets, shared)
             kept = next(d for k, d in zip(replies.column("kind").to_pylist(), replies.column("data").to_pylist(), strict=True) if k == "seatings")
             kept = [x.astype(np.int64) for x in unpack_all(kept)]
-            known = np.zeros(seating.n, dtype=np.int64)
-            np.add.at(known, seating.word, seating.count)
-            for a in models.column("asked")[r].as_py():
-                word, n, context = (x.astype(np.int64) for x in unpack_all(a["data"]))
-                places, total = seating.find(np.repeat(word, n), seating.ids[context]), 0
-                for i, t in enumerate(each):
-                    seating.put(*kept[3 * i : 3 * i + 3])
-                    total = total + seating.predict_at(t, discounts, base, places)
-                out.append((a["block"], pack_all(known[word], n, np.rint(np.clip(-np.log10(total / len(each)), 0, 300) * UNIT).astype(np.int64)), a["slots"]))
+            asked = [(a["block"], a["data"], a["slots"]) for a in models.column("asked")[r].as_py()]
+            out += _answers(seating, models.column("model")[r].as_py(), asked, each, [kept[i : i + 3] for i in range(0, len(kept), 3)], discounts, base)
         return pa.Table.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), answer_arrow, strict=True)], schema=answer_arrow) if out else answer_arrow.empty_table()
 
     back = _replies(given, index).unionByName(given.filter("kind = 'seatings'").select("bucket", "kind", "target", "data"))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from deducta.llm import pitman_yor as P
@@ -187,3 +188,57 @@ def test_score_agrees_with_a_plain_sampler(spark):
     assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.01)
     for i in want:
         assert got[i] == pytest.approx(want[i], rel=0.06, abs=0.15)
+
+
+def test_entries_are_predicted_once_however_many_blocks_ask(monkeypatch):
+    """A bucket's work on answers grows with its distinct entries, not with blocks times entries."""
+    words, contexts = [b"", b"one", b"two"], np.array(sorted(P.context_of(w) for w in (b"", b"one", b"two", b"there")))
+
+    def group(blocks):
+        rows = []
+        for block in range(blocks):
+            mine = [words[(block + k) % 3] for k in range(3)]
+            n = np.array([1 + (block + k) % 3 for k in range(3)])
+            at = np.concatenate([np.array([3, 1, 0])[:k] for k in n])  # not in their order
+            counts = np.where(at == 1, 0, 1 + at)  # one is only asked for
+            rows.append((block, P.pack_all(np.array([len(w) for w in mine]), n, at, counts, np.diff(contexts, prepend=0)), P.pack_bytes(b"".join(mine)), P.pack(np.arange(3)), mine, n, contexts[at], counts))
+        return pa.table({k: list(c) for k, c in zip(("block", "data", "words", "slots"), zip(*(r[:4] for r in rows), strict=True), strict=True)}), rows
+
+    def answers(blocks):
+        table, rows = group(blocks)
+        model, asked = P._merge(table)
+        seating = P._seating(model)
+        totals, each, kept, places = seating.totals(), [], [], []
+        for own in P.chain(seating, 0, 1, totals, [0.5] * 3, 0.1):
+            each.append(own.totals())
+            kept.append((own.tables, own.tables1, own.tables0))
+        with monkeypatch.context() as patch:
+            predict_at = P.Seating.predict_at
+            patch.setattr(P.Seating, "predict_at", lambda self, t, d, base, at: (places.append(len(at[0])), predict_at(self, t, d, base, at))[1])
+            out = P._answers(seating, model, asked, each, kept, [0.5] * 3, 0.1)
+        seen = Counter()
+        for r in rows:
+            for w, k in zip(np.repeat(r[4], r[5]).tolist(), r[7].tolist(), strict=True):
+                seen[w] += k
+        number = {w: i for i, w in enumerate(dict.fromkeys(w for r in rows for w in r[4]))}
+        for r, (block, data, slots) in zip(rows, out, strict=True):
+            known, n, scores = P.unpack_all(data)
+            assert (block, slots, known.tolist(), n.tolist()) == (r[0], r[3], [seen[w] for w in r[4]], r[5].tolist())
+            total = 0
+            for t, tables in zip(each, kept, strict=True):
+                seating.put(*tables)
+                total = total + seating.predict(t, [0.5] * 3, 0.1, np.repeat([number[w] for w in r[4]], r[5]), r[6])
+            assert scores / P.UNIT == pytest.approx(-np.log10(total / len(each)), abs=1e-6)
+        return places
+
+    assert answers(3) == answers(30) == [6] * P.SAMPLES
+
+
+def test_words_end_at_the_same_bytes_as_in_the_contract(spark):
+    """Of all bytes below 128, only 32 and 9 to 13 part words; upper-case letters count as lower-case ones."""
+    texts = [f"a{chr(i)}B" for i in range(1, 128)] + ["a\u00a0b \u2003\u00c4"]
+    df = spark.createDataFrame([(i, t, i % 2 == 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    got = {r.doc_id: (r.n_tokens, r.n_known) for r in P.score(df, "train", ["doc_id"]).collect()}
+    split = [WORD.findall(t.encode().lower()) + [b""] for t in texts]
+    known = {w for t in split[::2] for w in t}
+    assert got == {i: (len(t), sum(w in known for w in t)) for i, t in enumerate(split)}
